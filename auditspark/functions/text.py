@@ -223,12 +223,20 @@ def gitignore_regex(pattern: str) -> str:
 
 
 def ignored_by(path: Column, patterns: list[str]) -> Column:
-    """Whether an ordered ignore list drops the path; the last matching pattern decides."""
-    decision = F.lit(False)
-    for raw in patterns:
-        line = raw.rstrip("\n")
+    """Whether an ordered ignore list drops the path; the last matching pattern decides.
+
+    Neighbouring patterns of one polarity become one alternation.
+    """
+    runs: list[tuple[bool, list[str]]] = []
+    for raw_line in patterns:
+        line = raw_line.rstrip("\n")
         if not line.strip() or line.lstrip().startswith("#"):
             continue
         negated = line.startswith("!")
-        decision = F.when(path.rlike(gitignore_regex(line[1:] if negated else line)), F.lit(not negated)).otherwise(decision)
+        if not runs or runs[-1][0] != negated:
+            runs.append((negated, []))
+        runs[-1][1].append(gitignore_regex(line[1:] if negated else line))
+    decision = F.lit(False)
+    for negated, regexes in runs:
+        decision = F.when(path.rlike("|".join(f"(?:{r})" for r in regexes)), F.lit(not negated)).otherwise(decision)
     return decision

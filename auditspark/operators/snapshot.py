@@ -6,6 +6,7 @@ aggregated once by key, which needs one shuffle and combines map-side.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 from auditspark import fixed_values as fv
 from auditspark.functions import levels as L
 from auditspark.functions.tables import union
-from auditspark.session import cut_lineage
+from auditspark.session import cut_lineage, ship_package
 from auditspark.sources.declarations import is_expired
 
 ITEM_KINDS = {"capability": fv.HIGH_IMPACT_CAPABILITIES, "integration": fv.SENSITIVE_INTEGRATIONS}
@@ -91,41 +92,62 @@ def best_candidates(base: DataFrame, head: DataFrame, threshold: float = fv.RENA
         "base_id", "b.head_id", (-F.col("b.neg")).alias("jaccard"))
 
 
+BLOCK = 1000
+ASSIGNED = "base_id string, head_id string, jaccard double"
+
+
+def _choose(block: pd.DataFrame, options: pd.DataFrame) -> pd.DataFrame:
+    """Base ids of one block choose in order; options come sorted by preference within a signature."""
+    by_sig = {sig: list(zip(g["head_id"], g["jaccard"])) for sig, g in options.sort_values(["sig", "i"]).groupby("sig")}
+    taken: set[str] = set()
+    start: dict[str, int] = {}
+    out = []
+    for base_id, sig in sorted(zip(block["base_id"], block["base_sig"])):
+        heads = by_sig.get(sig, [])
+        k = start.get(sig, 0)
+        while k < len(heads) and heads[k][0] in taken:
+            k += 1
+        start[sig] = k
+        if k < len(heads):
+            taken.add(heads[k][0])
+            out.append((base_id, heads[k][0], heads[k][1]))
+    return pd.DataFrame(out, columns=["base_id", "head_id", "jaccard"])
+
+
 def renames(base_only: DataFrame, head_only: DataFrame, threshold: float = fv.RENAME_THRESHOLD) -> DataFrame:
     """(base_id, head_id, jaccard): one-to-one renames, base ids choosing in ascending order.
 
-    Letting base ids choose one after the other is a stable matching in which every head prefers
-    the smallest base id, so it is reached by rounds of proposals: the i-th free base of a
-    signature proposes to the i-th best head that could still take the group, a head keeps the
-    smallest id, the others go on. Heads ahead of a proposal have one from a smaller id in the
-    same round, so no better head is skipped.
+    The choice is sequential by definition, so base ids go through in blocks of a fixed size. Of a
+    signature's free heads only the best BLOCK can matter inside one block, as the others of the
+    block take at most BLOCK - 1 of them; that bounds the one group a block needs, whatever the
+    table sizes, and drops no candidate.
     """
+    ship_package(base_only.sparkSession)
     pairs = cut_lineage(similar_signatures(base_only, head_only, threshold))
     bases = cut_lineage(_signed(base_only).withColumnsRenamed({"id": "base_id", "sig": "base_sig"}).join(
         pairs.select("base_sig").distinct(), "base_sig", "left_semi"))
     heads = cut_lineage(_signed(head_only).withColumnsRenamed({"id": "head_id", "sig": "head_sig"}).join(
         pairs.select("head_sig").distinct(), "head_sig", "left_semi"))
-    holds = heads.where(F.lit(False)).select(
-        "head_id", F.lit("").alias("base_id"), F.lit("").alias("base_sig"), F.lit(0.0).alias("jaccard"))
-    waiting = bases
-    while not waiting.isEmpty():
-        group = waiting.groupBy("base_sig").agg(F.min("base_id").alias("lowest"), F.count(F.lit(1)).alias("k"))
-        open_heads = (
-            group.join(pairs, "base_sig").join(heads, "head_sig")
-            .join(holds.select("head_id", F.col("base_id").alias("holder")), "head_id", "left")
-            .where(F.col("holder").isNull() | (F.col("holder") > F.col("lowest"))))
-        by_preference = Window.partitionBy("base_sig").orderBy(F.desc("jaccard"), "head_id")
-        slots = open_heads.withColumn("i", F.row_number().over(by_preference)).where(F.col("i") <= F.col("k"))
-        queue = waiting.withColumn("i", F.row_number().over(Window.partitionBy("base_sig").orderBy("base_id")))
-        proposals = queue.join(slots.select("base_sig", "i", "head_id", "jaccard"), ["base_sig", "i"]).select(
-            "head_id", "base_id", "base_sig", "jaccard")
-        offers = holds.unionByName(proposals)
-        kept = offers.groupBy("head_id").agg(F.min(F.struct("base_id", "base_sig", "jaccard")).alias("b")).select("head_id", "b.*")
-        new_holds = cut_lineage(kept)
-        # who proposed or held and lost tries again; who found no slot is out for good
-        waiting = cut_lineage(offers.select("base_id", "base_sig").join(new_holds.select("base_id"), "base_id", "left_anti"))
-        holds = new_holds
-    return holds.select("base_id", "head_id", "jaccard")
+    done = heads.where(F.lit(False)).select(F.lit("").alias("base_id"), "head_id", F.lit(0.0).alias("jaccard"))
+    waiting, blocks = bases, 0
+    by_preference = Window.partitionBy("base_sig").orderBy(F.desc("jaccard"), "head_id")
+    while True:
+        block = cut_lineage(waiting.orderBy("base_id").limit(BLOCK))
+        last = block.agg(F.max("base_id")).first()[0]
+        if last is None:
+            return done
+        free = heads.join(done.select("head_id"), "head_id", "left_anti")
+        options = (
+            block.select("base_sig").distinct().join(pairs, "base_sig").join(free, "head_sig")
+            .withColumn("i", F.row_number().over(by_preference)).where(F.col("i") <= BLOCK)
+            .select(F.col("base_sig").alias("sig"), "i", "head_id", "jaccard"))
+        chosen = cut_lineage(block.withColumn("block", F.lit(blocks)).groupBy("block").cogroup(
+            options.withColumn("block", F.lit(blocks)).groupBy("block")).applyInPandas(_choose, ASSIGNED))
+        blocks += 1
+        done = done.unionByName(chosen)
+        if blocks % 20 == 0:
+            done = cut_lineage(done)
+        waiting = bases.where(F.col("base_id") > last)
 
 
 # ------------------------------------------------------------------------ changes

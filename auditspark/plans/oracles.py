@@ -449,13 +449,13 @@ UNION ALL SELECT 'reduction', id, 'agent no longer detected', 'info' FROM match
 UNION ALL SELECT 'finding', agent_id, 'new ' || severity || ' ' || rule_id, severity FROM fchanges WHERE change = 'new' AND agent_id IN (SELECT id FROM match WHERE status = 'common')""")
 SQL["rename_best_candidate"] = """
 WITH sides AS (
-  SELECT DISTINCT CASE WHEN l_shipdate < TIMESTAMP '1993-06-01' THEN 'b' WHEN l_shipdate >= TIMESTAMP '2000-06-01' THEN 'h' END AS side, l_suppkey, p_brand
+  SELECT DISTINCT CASE WHEN l_shipdate < TIMESTAMP '1995-06-01' THEN 'b' WHEN l_shipdate >= TIMESTAMP '2001-06-01' THEN 'h' END AS side, l_suppkey, p_brand
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 ev AS (SELECT side || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') AS id, side, p_brand FROM sides WHERE side IS NOT NULL),
 sizes AS (SELECT id, count(*) AS n FROM ev GROUP BY id),
 common AS (SELECT b.id AS base_id, h.id AS head_id, count(*) AS c FROM ev b JOIN ev h ON b.side = 'b' AND h.side = 'h' AND b.p_brand = h.p_brand GROUP BY ALL),
 scored AS (SELECT base_id, head_id, c / (x.n + y.n - c) AS jaccard FROM common JOIN sizes x ON x.id = base_id JOIN sizes y ON y.id = head_id)
-SELECT base_id, head_id, jaccard FROM scored WHERE jaccard >= 0.5 QUALIFY row_number() OVER (PARTITION BY base_id ORDER BY jaccard DESC, head_id) = 1"""
+SELECT base_id, head_id, jaccard FROM scored WHERE jaccard >= 0.7 QUALIFY row_number() OVER (PARTITION BY base_id ORDER BY jaccard DESC, head_id) = 1"""
 
 # ------------------------------------------------------------------ documents
 

@@ -475,8 +475,8 @@ def _evidence_sets(spark, d):
     l = derived.table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate")
     p = derived.table(spark, d, "part").select("p_partkey", "p_brand")
     rows = l.join(p, l.l_partkey == p.p_partkey).select(
-        "l_suppkey", "p_brand", F.when(F.col("l_shipdate") < F.lit("1993-06-01").cast("timestamp_ntz"), "b")
-        .when(F.col("l_shipdate") >= F.lit("2000-06-01").cast("timestamp_ntz"), "h").alias("side")).where(F.col("side").isNotNull()).distinct()
+        "l_suppkey", "p_brand", F.when(F.col("l_shipdate") < F.lit("1995-06-01").cast("timestamp_ntz"), "b")
+        .when(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz"), "h").alias("side")).where(F.col("side").isNotNull()).distinct()
     sets = rows.groupBy("side", "l_suppkey").agg(F.array_sort(F.collect_set("p_brand")).alias("hashes"))
     ids = F.concat("side", F.lpad(F.col("l_suppkey").cast("string"), 8, "0"))
     return (sets.where(F.col("side") == "b").select(ids.alias("id"), "hashes"), sets.where(F.col("side") == "h").select(ids.alias("id"), "hashes"))
@@ -485,13 +485,13 @@ def _evidence_sets(spark, d):
 @query
 def rename_best_candidate(spark, d):
     base, head = _evidence_sets(spark, d)
-    return snapshot.best_candidates(base, head, 0.5)
+    return snapshot.best_candidates(base, head)
 
 
 @query
 def rename_assignment(spark, d):
     base, head = _evidence_sets(spark, d)
-    return snapshot.renames(base, head, 0.5)
+    return snapshot.renames(base, head)
 
 
 @query
