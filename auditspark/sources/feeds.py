@@ -20,11 +20,11 @@ def read_commits(spark: SparkSession, path: str) -> DataFrame:
 
 def read_diffs(spark: SparkSession, path: str) -> DataFrame:
     """(diff_id, text): one row per diff file."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.format("text").option("wholetext", True).load(path).select(
         F.col("_metadata.file_name").alias("diff_id"), F.col("value").alias("text"))
 
 
 def read_owners(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
     """The ordered owner rules of one configuration file (hosts limit such files to a few MB)."""
-    rows = spark.read.option("wholetext", True).text(path).limit(1).collect()
+    rows = spark.read.format("text").option("wholetext", True).load(path).limit(1).collect()
     return parse_owners(rows[0]["value"]) if rows else []

@@ -37,7 +37,7 @@ def _major(schema: Column) -> Column:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """All trace lines of a folder. Files rotate at 16 MiB, so one file is one row at first."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.jsonl").text(path)
+    raw = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.jsonl").load(path)
     return _parsed(raw)
 
 
