@@ -51,7 +51,8 @@ def detect(agents: DataFrame, declared: DataFrame, spans: DataFrame, settings: S
     """All runtime contradictions.
 
     ``agents`` has id, path, line, capabilities, autonomy_level; ``declared`` is validated;
-    ``spans`` are the spans of agents the registry knows.
+    ``spans`` are aggregated by agent before they meet the registry, so spans of agents it does not
+    know cost nothing but their share of the scan.
     """
     summary = (summary if summary is not None else S.summarize(spans)).withColumnRenamed("agent_id", "id")
     counts = counts if counts is not None else S.value_counts(spans, dims=["capability"])

@@ -12,7 +12,7 @@ from auditspark.operators import (assurance, candidates, contradictions, dimensi
                                   flow, graph, line_rules, runtime_merge, runtime_rules, snapshot, supply_chain)
 from auditspark.operators import spans as S
 from auditspark.plans import corpus_scan
-from auditspark.session import spread
+from auditspark.session import cut_lineage, spread
 from auditspark.settings import Settings
 from auditspark.sinks import tables as sinks
 from auditspark.sources import code_corpus, declarations, derived
@@ -38,10 +38,12 @@ def _joined(col) -> F.Column:
 # ------------------------------------------------------------------ spans
 
 def _known_spans(spark, d):
-    """Spans of agents the registry knows."""
-    sp = derived.spans(spark, d)
-    ids = derived.registry_agents(spark, d).select(F.col("id").alias("agent_id"))
-    return sp.join(ids, "agent_id", "left_semi")
+    """Spans that carry an agent id.
+
+    Everything built on them aggregates first and meets the registry afterwards, which drops
+    agents it does not know; raw spans are never joined.
+    """
+    return _given(derived.spans(spark, d))
 
 
 def _given(spans: DataFrame) -> DataFrame:
@@ -182,7 +184,7 @@ def merge_liveness(spark, d):
 def merge_coverage(spark, d):
     agents = derived.registry_agents(spark, d)
     c = S.classify(derived.spans(spark, d), agents)
-    known = c.where(F.col("bucket") == "matched")
+    known = _known_spans(spark, d)
     row = runtime_merge.coverage(agents, S.summarize(known), c, runtime_rules.detect(agents, _declared(spark, d), known))
     return row.select("agents_total", "agents_covered", "span_count", "unmatched_agents", "rt_findings", S.iso(F.col("start_at")).alias("start_ts"),
                       S.iso(F.col("end_at")).alias("end_ts"), "quality_content", "quality_mixed", "quality_redacted")
@@ -376,7 +378,8 @@ def _snapshots(spark, d):
                     F.struct(F.lit("integration").alias("kind"), F.col("integration").alias("value")))
     items = rows.select("agent_id", "is_base", F.explode(pairs).alias("p")).select("agent_id", "is_base", "p.*").distinct()
     enough = items.where(F.col("kind") == "capability").groupBy("agent_id", "is_base").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 12)
-    items = items.join(enough.select("agent_id", "is_base"), ["agent_id", "is_base"], "left_semi")
+    # a snapshot is a stored registry: built once, read by every part of a diff
+    items = cut_lineage(items.join(enough.select("agent_id", "is_base"), ["agent_id", "is_base"], "left_semi"))
     return items.where("is_base").drop("is_base"), items.where(~F.col("is_base")).drop("is_base")
 
 
@@ -477,7 +480,7 @@ def _evidence_sets(spark, d):
     rows = l.join(p, l.l_partkey == p.p_partkey).select(
         "l_suppkey", "p_brand", F.when(F.col("l_shipdate") < F.lit("1995-06-01").cast("timestamp_ntz"), "b")
         .when(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz"), "h").alias("side")).where(F.col("side").isNotNull()).distinct()
-    sets = rows.groupBy("side", "l_suppkey").agg(F.array_sort(F.collect_set("p_brand")).alias("hashes"))
+    sets = cut_lineage(rows.groupBy("side", "l_suppkey").agg(F.array_sort(F.collect_set("p_brand")).alias("hashes")))
     ids = F.concat("side", F.lpad(F.col("l_suppkey").cast("string"), 8, "0"))
     return (sets.where(F.col("side") == "b").select(ids.alias("id"), "hashes"), sets.where(F.col("side") == "h").select(ids.alias("id"), "hashes"))
 
