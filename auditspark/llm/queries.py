@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditspark.llm import bpe_segment_tree, feistel_sharding, source_mix
+from auditspark.llm import bpe_segment_tree, feistel_sharding, hyperminhash, source_mix
 from auditspark.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op7_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_segment_tree.encoded(table(spark, sf_dir, "documents"))
 
@@ -20,4 +24,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-Q = {f.__name__: f for f in (op4_feistel_sharding, op7_bpe_segment_tree, op10_source_mix)}
+Q = {f.__name__: f for f in (op4_feistel_sharding, op6_hyperminhash, op7_bpe_segment_tree, op10_source_mix)}
