@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditspark.llm import bpe_segment_tree, feistel_sharding, hyperminhash, source_mix
+from auditspark.llm import bpe_segment_tree, feistel_sharding, hyperminhash, licence_index, ordinal_quality, source_mix, weighted_fingerprints
 from auditspark.llm.common import table
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_index.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
@@ -24,4 +36,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-Q = {f.__name__: f for f in (op4_feistel_sharding, op6_hyperminhash, op7_bpe_segment_tree, op10_source_mix)}
+Q = {f.__name__: f for f in (op1_ordinal_quality, op2_weighted_fingerprints, op4_feistel_sharding, op5_licence_index, op6_hyperminhash, op7_bpe_segment_tree, op10_source_mix)}
