@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from auditspark.llm import bpe_segment_tree, feistel_sharding, hyperminhash, licence_index, ordinal_quality, source_mix, weighted_fingerprints
+from auditspark.llm import bpe_segment_tree, feistel_sharding, hyperminhash, licence_index, ordinal_quality, pivot_topk, source_mix, weighted_fingerprints
 from auditspark.llm.common import table
 
 
@@ -32,8 +33,12 @@ def op7_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_segment_tree.encoded(table(spark, sf_dir, "documents"))
 
 
+def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-Q = {f.__name__: f for f in (op1_ordinal_quality, op2_weighted_fingerprints, op4_feistel_sharding, op5_licence_index, op6_hyperminhash, op7_bpe_segment_tree, op10_source_mix)}
+Q = {f.__name__: f for f in (op1_ordinal_quality, op2_weighted_fingerprints, op4_feistel_sharding, op5_licence_index, op6_hyperminhash, op7_bpe_segment_tree, op9_pivot_topk, op10_source_mix)}
