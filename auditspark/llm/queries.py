@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm import bpe_segment_tree, feistel_sharding, hyperminhash, licence_index, ordinal_quality, pivot_topk, source_mix, weighted_fingerprints
-from auditspark.llm.common import table
+from auditspark.llm import (bpe_segment_tree, edit_token_counts, feistel_sharding, hyperminhash, id_range_coder, licence_index, ordinal_quality,
+                            pivot_topk, source_mix, weighted_fingerprints)
+from auditspark.llm.common import table, text_or_empty
 
 
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,12 @@ def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = edit_token_counts.trees(table(spark, sf_dir, "documents"))
+    counted = edit_token_counts.recounted(docs, edit_token_counts.own_edits(text_or_empty()))
+    return counted.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited", "leaf_lengths", "leaf_tokens")
+
+
 def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -33,6 +40,10 @@ def op7_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_segment_tree.encoded(table(spark, sf_dir, "documents"))
 
 
+def op8_id_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_range_coder.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -41,4 +52,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-Q = {f.__name__: f for f in (op1_ordinal_quality, op2_weighted_fingerprints, op4_feistel_sharding, op5_licence_index, op6_hyperminhash, op7_bpe_segment_tree, op9_pivot_topk, op10_source_mix)}
+Q = {f.__name__: f for f in (op1_ordinal_quality, op2_weighted_fingerprints, op3_edit_token_counts, op4_feistel_sharding, op5_licence_index, op6_hyperminhash, op7_bpe_segment_tree, op8_id_range_coder, op9_pivot_topk, op10_source_mix)}
