@@ -4,7 +4,7 @@ Licence notices are templates; every content word of a template is posted with i
 to those that any template holds, with their positions, in one pass over the text. Document frequencies of these
 words over all files give their IDF, and each file looks up its LOOKED_UP rarest ones. A posting moves the file's
 position back by the template's; words of one notice agree on where it starts, so the places where at least
-LEAST_SHARE of a template's looked-up words agree, two at least, are its candidates. A candidate counts if the template's
+LEAST_SHARE of a template's words (of LOOKED_UP at most) agree, two at least, are its candidates. A candidate counts if the template's
 key phrase stands at its position from there. The base phrases are key phrases as well: they count wherever their words stand
 in a row, since all their words are in the index.
 
@@ -47,8 +47,8 @@ TEMPLATES = {
 #: Function words, which aren't posted.
 COMMON = frozenset("a an and any are as at by can for if in into is it may not of or that the this to under use v with without you 0 2 4".split())
 #: Words that a file looks up.
-LOOKED_UP = 16
-#: Of a template's looked-up words, so many must agree on its start.
+LOOKED_UP = 24
+#: Of a template's content words, or of LOOKED_UP, so many must agree on its start.
 LEAST_SHARE = 0.6
 
 
@@ -97,15 +97,14 @@ def candidates(rows: DataFrame, rarity: dict[str, float], posted: dict[str, list
     post = F.create_map(*[x for w, ps in posted.items() for x in (
         F.lit(w), F.array(*[F.struct(F.lit(t).alias("label"), F.lit(at).alias("at")) for t, at in ps]))])
     looked_up = F.slice(F.array_sort(F.transform(F.array_distinct("hits.word"), lambda w: F.element_at(ranks, w))), 1, LOOKED_UP)
-    by_template = F.create_map(*[x for t in sorted({t for ps in posted.values() for t, _ in ps}) for x in (
-        F.lit(t), F.array(*[F.lit(order[w]) for w, ps in posted.items() for u, _ in ps if u == t]))])
+    held = {t: sum(u == t for ps in posted.values() for u, _ in ps) for t in {t for ps in posted.values() for t, _ in ps}}
+    most = F.create_map(*[F.lit(x) for t, n in sorted(held.items()) for x in (t, min(n, LOOKED_UP))])
     asked = rows.where(F.size("hits") >= 2).select("row", "hits", looked_up.alias("_asked"))
     one = asked.select("row", "_asked", F.explode("hits").alias("_hit")).where(F.array_contains("_asked", F.element_at(ranks, F.col("_hit.word"))))
-    voted = one.select("row", "_asked", "_hit", F.explode(F.element_at(post, F.col("_hit.word"))).alias("_post")).select(
-        "row", F.col("_post.label").alias("label"), (F.col("_hit.at") - F.col("_post.at")).alias("start"),
-        F.size(F.filter(F.element_at(by_template, F.col("_post.label")), lambda r: F.array_contains("_asked", r))).alias("_of"))
-    votes = voted.groupBy("row", "label", "start").agg(F.count(F.lit(1)).alias("_votes"), F.max("_of").alias("_of"))
-    share = F.col("_votes") / F.col("_of")
+    voted = one.select("row", "_hit", F.explode(F.element_at(post, F.col("_hit.word"))).alias("_post")).select(
+        "row", F.col("_post.label").alias("label"), (F.col("_hit.at") - F.col("_post.at")).alias("start"))
+    votes = voted.groupBy("row", "label", "start").agg(F.count(F.lit(1)).alias("_votes"))
+    share = F.col("_votes") / F.element_at(most, F.col("label"))
     return votes.where((F.col("_votes") >= 2) & (share >= LEAST_SHARE)).select("row", "label", "start", share.alias("share"))
 
 
