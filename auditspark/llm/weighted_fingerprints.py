@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from auditspark.llm.common import WORD, text_or_empty
 
-SAMPLES = 64
+SAMPLES = 32
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 4
 
@@ -40,16 +40,34 @@ def sample(k: int, word: Column, log_weight: Column) -> Column:
     b = _uniform(g.bitwiseAND(F.lit(0x1FFFFF)), 21)
     t = F.floor(log_weight / r + b)
     value = F.log(c) - r * (t - b + 1)
-    tag = (word + t * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFF))
+    tag = word.bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFF))
     return F.floor(value * 2.0**26).cast("long") * F.lit(1 << 24) + tag
 
 
-def counted_words(hashes: str) -> Column:
-    """array<struct<word, n>> of a sorted array of word hashes: its runs of equal values."""
+def weighted_words(hashes: str) -> Column:
+    """array<struct<word, n, sides>> of a sorted array of word hashes whose lowest bit is the side (0 text, 1 edited text).
+
+    n is the word's count in a side; sides is 1, 2 or 3 for text, edited text or both with the same count.
+    """
     h = F.col(hashes)
     starts = F.filter(F.transform(h, lambda x, i: F.when((i == 0) | (x != F.get(h, i - 1)), i)), lambda s: s.isNotNull())
-    pairs = F.arrays_zip(starts, F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(h))))
-    return F.transform(pairs, lambda p: F.struct(F.get(h, p["0"]).alias("word"), (p["1"] - p["0"]).alias("n")))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(h)))
+    return F.transform(F.arrays_zip(starts, ends), lambda p: F.struct(F.get(h, p["0"]).alias("word"), (p["1"] - p["0"]).alias("n")))
+
+
+def joined_sides(runs: str) -> Column:
+    """Runs of both sides of a word become one where their counts are equal."""
+    r = F.col(runs)
+    same = lambda x, y: (F.shiftright(x["word"], 1) == F.shiftright(y["word"], 1)) & (x["n"] == y["n"])
+
+    def of(x: Column, i: Column) -> Column:
+        edited = x["word"].bitwiseAND(F.lit(1)) == 1
+        word = x["word"].bitwiseAND(F.lit(-2))
+        after, before = F.coalesce(same(x, F.get(r, i + 1)), F.lit(False)), F.coalesce(same(x, F.get(r, i - 1)), F.lit(False))
+        return F.when(~edited, F.struct(word.alias("word"), x["n"].alias("n"), F.when(after, 3).otherwise(1).alias("sides"))).when(
+            ~before, F.struct(word.alias("word"), x["n"].alias("n"), F.lit(2).alias("sides")))
+
+    return F.filter(F.transform(r, of), lambda w: w.isNotNull())
 
 
 def range_bounds(keys: DataFrame, n: int) -> list[int]:
@@ -92,8 +110,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next document. Words are
-    counted inside their row; each word becomes one row with its samples, which a hash aggregate takes the smallest of
-    within the partition that the one shuffle has made.
+    counted inside their row; each word becomes one row (one for both texts if its counts are equal) with its samples,
+    and a hash aggregate takes the smallest ones within the partition that the one shuffle has made.
     """
     ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = F.length("text")
@@ -102,20 +120,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     pieces = [F.conv(F.substring("_sha", 1 + 13 * i, 13), 16, 10).cast("long").alias(f"_sha{i}") for i in range(5)]  # numbers, as hash aggregates keep no strings
     both = with_next(docs, ranges).withColumn("_edited", edited).select(
         "*", n.cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("_sha"))
-    texts = F.when(F.col("_copy"), F.array(F.col("text"))).otherwise(F.array("text", "_edited"))
     carried = ["doc_id", "n_chars", *[f"_sha{i}" for i in range(5)]]
-    sides = both.select("_range", "_place", "_copy", "doc_id", "n_chars", *pieces, F.posexplode(texts).alias("_side", "_text"))
-    hashes = F.sort_array(F.transform(F.regexp_extract_all("_text", F.lit(f"({WORD})"), F.lit(1)), lambda w: F.xxhash64(w)))
-    words = sides.withColumn("_hashes", hashes).select("_range", "_place", "_copy", "_side", *carried, F.explode_outer(counted_words("_hashes")).alias("_w"))
-    weighed = words.select("_range", "_place", "_copy", "_side", *carried, F.col("_w.word").alias("_word"), F.log(F.col("_w.n").cast("double")).alias("_weight"))
+    side = lambda text, bit: F.transform(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit)))
+    hashes = F.sort_array(F.concat(side(F.col("text"), 0), side(F.when(F.col("_copy"), "").otherwise(F.col("_edited")), 1)))
+    runs = both.select("_range", "_place", "_copy", "doc_id", "n_chars", *pieces, hashes.alias("_hashes")).withColumn("_runs", weighted_words("_hashes"))
+    words = runs.select("_range", "_place", "_copy", *carried, F.explode_outer(joined_sides("_runs")).alias("_w"))
+    weighed = words.select("_range", "_place", "_copy", *carried, F.col("_w.word").alias("_word"), F.coalesce("_w.sides", F.lit(3)).alias("_sides"), F.log(F.col("_w.n").cast("double")).alias("_weight"))
     lows = [F.min(sample(k, F.col("_word"), F.col("_weight"))).alias(f"_s{k}") for k in range(SAMPLES)]
-    signed = weighed.groupBy("_range", "_place", "_copy", "_side").agg(*[F.max(c).alias(c) for c in carried], *lows)
-    arrays = signed.select("_range", "_place", "_copy", "_side", *carried, F.array(*[F.coalesce(f"_s{k}", F.lit(0)) for k in range(SAMPLES)]).alias("_print"))
-    order = Window.partitionBy("_range").orderBy("_place", "_side")
-    rows = arrays.withColumn("_edited", F.lead("_print", 1).over(order)).withColumn("_next", F.lead("_print", 2).over(order))
+    signed = weighed.groupBy("_range", "_place", "_copy", "_sides").agg(*[F.max(c).alias(c) for c in carried], *lows)
+    of_side = lambda bit: [F.min(F.when(F.col("_sides").bitwiseAND(F.lit(bit)) > 0, F.col(f"_s{k}"))).alias(f"_{bit}s{k}") for k in range(SAMPLES)]
+    whole = signed.groupBy("_range", "_place", "_copy").agg(*[F.max(c).alias(c) for c in carried], *of_side(1), *of_side(2))
+    as_array = lambda bit: F.array(*[F.coalesce(f"_{bit}s{k}", F.lit(0)) for k in range(SAMPLES)])
+    arrays = whole.select("_range", "_place", "_copy", *carried, as_array(1).alias("_print"), as_array(2).alias("_edited"))
+    rows = arrays.withColumn("_next", F.lead("_print").over(Window.partitionBy("_range").orderBy("_place")))
     hexed = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
     like = lambda c: F.size(F.filter(F.zip_with("_print", c, lambda x, y: x == y), lambda same: same)) / F.lit(float(SAMPLES))
     sha = F.concat(*[F.lpad(F.lower(F.hex(f"_sha{i}")), 13 if i < 4 else 12, "0") for i in range(5)])
-    return rows.where("_side = 0 and not _copy").select(
+    return rows.where("not _copy").select(
         "doc_id", "n_chars", sha.alias("edited_sha256"), hexed("_print").alias("fingerprint"), hexed("_edited").alias("edited_fingerprint"),
         like("_edited").alias("near_edited"), like("_next").alias("near_next"))
