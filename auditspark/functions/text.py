@@ -151,7 +151,8 @@ def stripped(text: Column) -> Column:
 
 
 def snippet(text: Column) -> Column:
-    return F.substring(text, 1, fv.SNIPPET_MAX)
+    """A finding's text as it is stored, uncut; sinks shorten what they show."""
+    return text
 
 
 def entropy(token: Column) -> Column:

@@ -155,21 +155,21 @@ def focus(edges_: DataFrame, center: str) -> DataFrame:
             .join(near.withColumnRenamed("id", "target"), "target", "left_semi"))
 
 
-def reach(edges_: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
-    """(id, hops): every node within ``max_hops`` of the seeds along edge direction.
+def reach(edges_: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, hops): every node that the seeds reach along edge direction, with the fewest hops.
 
     Breadth-first: each round joins only the newest frontier with the edges and drops what was
     seen, so every node is expanded once. The lineage is cut each round.
     """
-    links = edges_.select("source", "target").distinct()
+    links = cut_lineage(edges_.select("source", "target").distinct())
     seen = cut_lineage(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while not frontier.isEmpty():
+        hop += 1
         step = (
             links.join(frontier.select(F.col("id").alias("source")), "source", "left_semi")
             .select(F.col("target").alias("id")).distinct().join(seen.select("id"), "id", "left_anti"))
         frontier = cut_lineage(step.withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
     return seen

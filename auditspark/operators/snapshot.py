@@ -6,7 +6,6 @@ aggregated once by key, which needs one shuffle and combines map-side.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +13,7 @@ from pyspark.sql.window import Window
 from auditspark import fixed_values as fv
 from auditspark.functions import levels as L
 from auditspark.functions.tables import union
-from auditspark.session import cut_lineage, ship_package
+from auditspark.session import cut_lineage
 from auditspark.sources.declarations import is_expired
 
 ITEM_KINDS = {"capability": fv.HIGH_IMPACT_CAPABILITIES, "integration": fv.SENSITIVE_INTEGRATIONS}
@@ -92,62 +91,37 @@ def best_candidates(base: DataFrame, head: DataFrame, threshold: float = fv.RENA
         "base_id", "b.head_id", (-F.col("b.neg")).alias("jaccard"))
 
 
-BLOCK = 1000
-ASSIGNED = "base_id string, head_id string, jaccard double"
-
-
-def _choose(block: pd.DataFrame, options: pd.DataFrame) -> pd.DataFrame:
-    """Base ids of one block choose in order; options come sorted by preference within a signature."""
-    by_sig = {sig: list(zip(g["head_id"], g["jaccard"])) for sig, g in options.sort_values(["sig", "i"]).groupby("sig")}
-    taken: set[str] = set()
-    start: dict[str, int] = {}
-    out = []
-    for base_id, sig in sorted(zip(block["base_id"], block["base_sig"])):
-        heads = by_sig.get(sig, [])
-        k = start.get(sig, 0)
-        while k < len(heads) and heads[k][0] in taken:
-            k += 1
-        start[sig] = k
-        if k < len(heads):
-            taken.add(heads[k][0])
-            out.append((base_id, heads[k][0], heads[k][1]))
-    return pd.DataFrame(out, columns=["base_id", "head_id", "jaccard"])
-
-
 def renames(base_only: DataFrame, head_only: DataFrame, threshold: float = fv.RENAME_THRESHOLD) -> DataFrame:
     """(base_id, head_id, jaccard): one-to-one renames, base ids choosing in ascending order.
 
-    The choice is sequential by definition, so base ids go through in blocks of a fixed size. Of a
-    signature's free heads only the best BLOCK can matter inside one block, as the others of the
-    block take at most BLOCK - 1 of them; that bounds the one group a block needs, whatever the
-    table sizes, and drops no candidate.
+    Choosing one after the other equals proposals in which every head prefers the smallest base id: a waiting base
+    proposes to its best head that no smaller id holds, heads keep the smallest id, and what is pushed out waits again. A
+    round is joins and minima over all waiting bases. Bases of equal evidence propose in one round as well: of the
+    heads that all of them may have, the i-th base takes the i-th, for the earlier ones keep those from it in any case.
     """
-    ship_package(base_only.sparkSession)
     pairs = cut_lineage(similar_signatures(base_only, head_only, threshold))
     bases = cut_lineage(_signed(base_only).withColumnsRenamed({"id": "base_id", "sig": "base_sig"}).join(
         pairs.select("base_sig").distinct(), "base_sig", "left_semi"))
     heads = cut_lineage(_signed(head_only).withColumnsRenamed({"id": "head_id", "sig": "head_sig"}).join(
         pairs.select("head_sig").distinct(), "head_sig", "left_semi"))
-    done = heads.where(F.lit(False)).select(F.lit("").alias("base_id"), "head_id", F.lit(0.0).alias("jaccard"))
-    waiting, blocks = bases, 0
+    held = heads.where(F.lit(False)).select("head_id", F.lit("").alias("base_id"), F.lit(0.0).alias("jaccard"))
+    in_order = Window.partitionBy("base_sig").orderBy("base_id")
     by_preference = Window.partitionBy("base_sig").orderBy(F.desc("jaccard"), "head_id")
     while True:
-        block = cut_lineage(waiting.orderBy("base_id").limit(BLOCK))
-        last = block.agg(F.max("base_id")).first()[0]
-        if last is None:
-            return done
-        free = heads.join(done.select("head_id"), "head_id", "left_anti")
+        waiting = bases.join(held.select("base_id"), "base_id", "left_anti").withColumn("i", F.row_number().over(in_order))
+        groups = waiting.groupBy("base_sig").agg(F.min("base_id").alias("_low"), F.max("base_id").alias("_high"))
+        free_for = F.col("_by").isNull() | (F.col("_by") > F.col("_low"))
         options = (
-            block.select("base_sig").distinct().join(pairs, "base_sig").join(free, "head_sig")
-            .withColumn("i", F.row_number().over(by_preference)).where(F.col("i") <= BLOCK)
-            .select(F.col("base_sig").alias("sig"), "i", "head_id", "jaccard"))
-        chosen = cut_lineage(block.withColumn("block", F.lit(blocks)).groupBy("block").cogroup(
-            options.withColumn("block", F.lit(blocks)).groupBy("block")).applyInPandas(_choose, ASSIGNED))
-        blocks += 1
-        done = done.unionByName(chosen)
-        if blocks % 20 == 0:
-            done = cut_lineage(done)
-        waiting = bases.where(F.col("base_id") > last)
+            groups.join(pairs, "base_sig").join(heads, "head_sig").join(held.select("head_id", F.col("base_id").alias("_by")), "head_id", "left")
+            .where(free_for).withColumn("i", F.row_number().over(by_preference))
+            .withColumn("_disputed", F.min(F.when(F.col("_by") <= F.col("_high"), F.col("i"))).over(Window.partitionBy("base_sig"))))
+        asked = waiting.join(options, ["base_sig", "i"]).where(
+            F.col("_disputed").isNull() | (F.col("i") < F.col("_disputed")) | ((F.col("i") == F.col("_disputed")) & (F.col("_by") > F.col("base_id"))))
+        proposals = cut_lineage(asked.select("head_id", "base_id", "jaccard"))
+        if proposals.isEmpty():
+            return held.select("base_id", "head_id", "jaccard")
+        best = F.min(F.struct("base_id", "jaccard")).alias("b")
+        held = cut_lineage(held.unionByName(proposals).groupBy("head_id").agg(best).select("head_id", "b.base_id", "b.jaccard"))
 
 
 # ------------------------------------------------------------------------ changes

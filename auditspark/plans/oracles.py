@@ -316,8 +316,8 @@ SELECT source, target, kind FROM edges WHERE source IN (SELECT id FROM near) AND
 SQL["delegation_reach"] = "WITH RECURSIVE " + SPANS + "," + GIVEN + """,
 hops AS (SELECT DISTINCT agent_id AS source, to_agent_id AS target FROM given WHERE kind = 'delegation'),
 reach(id, hops) AS (
-  SELECT DISTINCT source, 0 FROM hops WHERE CAST(substr(source, 2) AS BIGINT) % 50 = 3
-  UNION SELECT h.target, r.hops + 1 FROM reach r JOIN hops h ON h.source = r.id WHERE r.hops < 4)
+  SELECT DISTINCT source, 0 FROM hops WHERE source NOT IN (SELECT target FROM hops WHERE target IS NOT NULL)
+  UNION SELECT h.target, r.hops + 1 FROM reach r JOIN hops h ON h.source = r.id WHERE r.hops < (SELECT count(*) FROM hops))
 SELECT id, CAST(min(hops) AS INTEGER) AS hops FROM reach GROUP BY id"""
 
 # ------------------------------------------------------------------ declared facts
@@ -388,11 +388,10 @@ WHERE (r.area <> 'economic_authority' OR max_per_action IS NOT NULL OR list_has_
 
 SNAP = f"""
 order_rows AS (
-  SELECT 'a' || o_custkey AS agent_id, ({sql_list(dv.CAPABILITIES)})[CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) % 23 + 1] AS capability,
+  SELECT 'a' || (o_custkey * 5 + CAST(substr(o_orderpriority, 1, 1) AS BIGINT) - 1) AS agent_id, ({sql_list(dv.CAPABILITIES)})[CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) % 23 + 1] AS capability,
     ({sql_list(dv.INTEGRATIONS)})[length(p_type) * 3 + CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) % 4 + 1] AS integration, l_shipdate < TIMESTAMP '1998-05-24' AS is_base
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
-items0 AS (SELECT DISTINCT agent_id, is_base, 'capability' AS kind, capability AS value FROM order_rows UNION SELECT DISTINCT agent_id, is_base, 'integration', integration FROM order_rows),
-items AS (SELECT * FROM items0 WHERE (agent_id, is_base) IN (SELECT (agent_id, is_base) FROM items0 WHERE kind = 'capability' GROUP BY agent_id, is_base HAVING count(*) >= 12)),
+items AS (SELECT DISTINCT agent_id, is_base, 'capability' AS kind, capability AS value FROM order_rows UNION SELECT DISTINCT agent_id, is_base, 'integration', integration FROM order_rows),
 match AS (SELECT agent_id AS id, CASE WHEN bool_or(is_base) AND bool_or(NOT is_base) THEN 'common' WHEN bool_or(is_base) THEN 'removed' ELSE 'added' END AS status FROM items GROUP BY agent_id),
 added AS (SELECT i.agent_id, CASE WHEN bool_or((kind = 'capability' AND value IN {HIGH}) OR (kind = 'integration' AND value IN {SENSITIVE})) THEN 'high' ELSE 'medium' END AS drift,
     CASE WHEN bool_or(kind = 'capability' AND value IN {HIGH}) THEN 'new agent binds high-impact capability ' || min(value) FILTER (kind = 'capability' AND value IN {HIGH})
@@ -447,15 +446,27 @@ UNION ALL SELECT 'new agent', agent_id, reason, drift FROM added
 UNION ALL SELECT 'reduction', agent_id, '- ' || value, drift FROM changes WHERE change = 'removed'
 UNION ALL SELECT 'reduction', id, 'agent no longer detected', 'info' FROM match WHERE status = 'removed'
 UNION ALL SELECT 'finding', agent_id, 'new ' || severity || ' ' || rule_id, severity FROM fchanges WHERE change = 'new' AND agent_id IN (SELECT id FROM match WHERE status = 'common')""")
-SQL["rename_best_candidate"] = """
-WITH sides AS (
-  SELECT DISTINCT CASE WHEN l_shipdate < TIMESTAMP '1995-06-01' THEN 'b' WHEN l_shipdate >= TIMESTAMP '2001-06-01' THEN 'h' END AS side, l_suppkey, p_brand
+RENAMED = """
+sides AS (
+  SELECT DISTINCT CASE WHEN l_shipdate < TIMESTAMP '1998-05-24' THEN 'b' ELSE 'h' END AS side, l_suppkey, p_brand || '/' || p_size % 8 AS kind
   FROM lineitem JOIN part ON l_partkey = p_partkey),
-ev AS (SELECT side || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') AS id, side, p_brand FROM sides WHERE side IS NOT NULL),
+ev AS (SELECT side || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') AS id, side, kind FROM sides),
 sizes AS (SELECT id, count(*) AS n FROM ev GROUP BY id),
-common AS (SELECT b.id AS base_id, h.id AS head_id, count(*) AS c FROM ev b JOIN ev h ON b.side = 'b' AND h.side = 'h' AND b.p_brand = h.p_brand GROUP BY ALL),
-scored AS (SELECT base_id, head_id, c / (x.n + y.n - c) AS jaccard FROM common JOIN sizes x ON x.id = base_id JOIN sizes y ON y.id = head_id)
-SELECT base_id, head_id, jaccard FROM scored WHERE jaccard >= 0.7 QUALIFY row_number() OVER (PARTITION BY base_id ORDER BY jaccard DESC, head_id) = 1"""
+common AS (SELECT b.id AS base_id, h.id AS head_id, count(*) AS c FROM ev b JOIN ev h ON b.side = 'b' AND h.side = 'h' AND b.kind = h.kind GROUP BY ALL),
+scored AS (SELECT base_id, head_id, c / (x.n + y.n - c) AS jaccard FROM common JOIN sizes x ON x.id = base_id JOIN sizes y ON y.id = head_id WHERE c / (x.n + y.n - c) >= 0.7)"""
+# base ids choose one after the other
+SQL["rename_assignment"] = "WITH RECURSIVE " + RENAMED + """,
+bases AS (SELECT base_id, row_number() OVER (ORDER BY base_id) AS i FROM (SELECT DISTINCT base_id FROM scored)),
+walk(i, taken, base_id, pick) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS STRUCT(head_id VARCHAR, jaccard DOUBLE))
+  UNION ALL
+  SELECT b.i, CASE WHEN o.pick IS NULL THEN w.taken ELSE list_append(w.taken, o.pick.head_id) END, b.base_id, o.pick
+  FROM walk w JOIN bases b ON b.i = w.i + 1, LATERAL (
+    SELECT arg_min(struct_pack(head_id := s.head_id, jaccard := CAST(s.jaccard AS DOUBLE)), (-s.jaccard, s.head_id)) AS pick
+    FROM scored s WHERE s.base_id = b.base_id AND NOT list_contains(w.taken, s.head_id)) o)
+SELECT base_id, pick.head_id AS head_id, pick.jaccard AS jaccard FROM walk WHERE pick IS NOT NULL"""
+SQL["rename_best_candidate"] = "WITH " + RENAMED + """
+SELECT base_id, head_id, jaccard FROM scored QUALIFY row_number() OVER (PARTITION BY base_id ORDER BY jaccard DESC, head_id) = 1"""
 
 # ------------------------------------------------------------------ documents
 

@@ -313,8 +313,8 @@ def graph_focus(spark, d):
 def delegation_reach(spark, d):
     sp = _given(derived.spans(spark, d))
     edges = S.delegations(sp).select(F.col("agent_id").alias("source"), F.col("to_agent_id").alias("target"))
-    seeds = edges.where(F.substring("source", 2, 10).cast("long") % 50 == 3).select(F.col("source").alias("id"))
-    return graph.reach(edges, seeds, 4)
+    seeds = edges.join(edges.select(F.col("target").alias("source")), "source", "left_anti").select(F.col("source").alias("id"))
+    return graph.reach(edges, seeds)
 
 
 # ------------------------------------------------------------------ declared facts
@@ -359,27 +359,26 @@ def assurance_contradictions(spark, d):
 # ------------------------------------------------------------------ snapshot diff
 
 def _snapshots(spark, d):
-    """Two registries from order lines: customers are agents, brands capabilities, types integrations.
+    """Two registries from all order lines: customers by priority are agents, brands capabilities, types integrations.
 
-    An agent exists in a snapshot from twelve distinct brands on. Brand names map to capability
-    names and types to integration names, so the high-impact and sensitive lists apply.
+    Lines before the cut-off are the base, all others the head; an agent without a line on one side was added or removed.
+    Brand names map to capability names and types to integration names, so the high-impact and sensitive lists apply.
     """
     l = derived.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
-    o = derived.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    agent = F.col("o_custkey") * 5 + F.substring("o_orderpriority", 1, 1).cast("long") - 1
+    o = derived.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("a"), agent.cast("string")).alias("agent_id"))
     p = derived.table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
     number = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("long")
     rows = (
         l.join(o, l.l_orderkey == o.o_orderkey).join(p, l.l_partkey == p.p_partkey)
-        .select(F.concat(F.lit("a"), "o_custkey").alias("agent_id"), "o_custkey",
+        .select("agent_id",
                 derived.pick(derived.CAPABILITIES, number % 23).alias("capability"),
                 derived.pick(derived.INTEGRATIONS, F.length("p_type") * 3 + number % 4).alias("integration"),
                 (F.col("l_shipdate") < F.lit("1998-05-24").cast("timestamp_ntz")).alias("is_base")))
     pairs = F.array(F.struct(F.lit("capability").alias("kind"), F.col("capability").alias("value")),
                     F.struct(F.lit("integration").alias("kind"), F.col("integration").alias("value")))
     items = rows.select("agent_id", "is_base", F.explode(pairs).alias("p")).select("agent_id", "is_base", "p.*").distinct()
-    enough = items.where(F.col("kind") == "capability").groupBy("agent_id", "is_base").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 12)
-    # a snapshot is a stored registry: built once, read by every part of a diff
-    items = cut_lineage(items.join(enough.select("agent_id", "is_base"), ["agent_id", "is_base"], "left_semi"))
+    items = cut_lineage(items)  # a snapshot is a stored registry: built once, read by every part of a diff
     return items.where("is_base").drop("is_base"), items.where(~F.col("is_base")).drop("is_base")
 
 
@@ -474,13 +473,12 @@ def snapshot_diff_dimensions(spark, d):
 
 
 def _evidence_sets(spark, d):
-    """Brands per supplier and period, as evidence hashes of base and head agents."""
+    """Brands and sizes per supplier, before and from the cut-off on, as evidence hashes of base and head agents."""
     l = derived.table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate")
-    p = derived.table(spark, d, "part").select("p_partkey", "p_brand")
+    p = derived.table(spark, d, "part").select("p_partkey", F.concat_ws("/", "p_brand", (F.col("p_size") % 8).cast("string")).alias("kind"))
     rows = l.join(p, l.l_partkey == p.p_partkey).select(
-        "l_suppkey", "p_brand", F.when(F.col("l_shipdate") < F.lit("1995-06-01").cast("timestamp_ntz"), "b")
-        .when(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz"), "h").alias("side")).where(F.col("side").isNotNull()).distinct()
-    sets = cut_lineage(rows.groupBy("side", "l_suppkey").agg(F.array_sort(F.collect_set("p_brand")).alias("hashes")))
+        "l_suppkey", "kind", F.when(F.col("l_shipdate") < F.lit("1998-05-24").cast("timestamp_ntz"), "b").otherwise("h").alias("side")).distinct()
+    sets = cut_lineage(rows.groupBy("side", "l_suppkey").agg(F.array_sort(F.collect_set("kind")).alias("hashes")))
     ids = F.concat("side", F.lpad(F.col("l_suppkey").cast("string"), 8, "0"))
     return (sets.where(F.col("side") == "b").select(ids.alias("id"), "hashes"), sets.where(F.col("side") == "h").select(ids.alias("id"), "hashes"))
 

@@ -28,7 +28,7 @@ class Settings:
     approval_drop: float = fv.APPROVAL_DROP
     error_rate_elevated: float = fv.ERROR_RATE_ELEVATED
     error_rate_moderate: float = fv.ERROR_RATE_MODERATE
-    max_file_bytes: int = fv.MAX_FILE_BYTES
+    max_file_bytes: int | None = None                       # no limit unless one is set
     declarations_path: str = "declared.toml"
 
     def __post_init__(self):

@@ -38,6 +38,8 @@ def skip_reason(path: Column, length: Column, settings: Settings = DEFAULT, igno
             reason = reason.when(ignored_by(path, patterns), F.lit(text))
     if include:
         reason = reason.when(~ignored_by(path, include), F.lit("not matched by --include patterns"))
+    if settings.max_file_bytes is None:
+        return reason
     return reason.when(length > settings.max_file_bytes, F.lit(f"file larger than {settings.max_file_bytes} bytes"))
 
 

@@ -25,6 +25,11 @@ def read_diffs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_owners(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """The ordered owner rules of one configuration file (hosts limit such files to a few MB)."""
-    rows = spark.read.format("text").option("wholetext", True).load(path).limit(1).collect()
+    """The ordered owner rules of one configuration file (hosts limit such files to a few MB).
+
+    Of several files the one whose place comes first is read: a hosting folder, the top, a documentation folder.
+    """
+    place = F.when(F.col("_metadata.file_path").rlike(r"/\.github/[^/]*$"), 0).when(F.col("_metadata.file_path").rlike(r"/docs/[^/]*$"), 2).otherwise(1)
+    files = spark.read.format("text").option("wholetext", True).load(path)
+    rows = files.orderBy(place, F.col("_metadata.file_path")).limit(1).collect()
     return parse_owners(rows[0]["value"]) if rows else []
