@@ -302,13 +302,20 @@ def tokenized(docs: DataFrame, name: str = "word_bpe_49k.json", end: int = 1) ->
 PIECES = "array<struct<doc_id:bigint,doc_start:bigint,n:int>>"
 
 
-def write(tokens: DataFrame, path: str) -> None:
+def _key():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+
+
+def file_bounds(docs: DataFrame) -> list[int]:
+    """The largest doc_id of each file but the last; reads ids only."""
+    n = FILES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return range_bounds(docs.select(_key().alias("_key")), n) or [0]
+
+
+def write(tokens: DataFrame, bounds: list[int], path: str) -> None:
     """Write (doc_id, ids) as numbered files of coded blocks; a document may span blocks, never files."""
     spark = tokens.sparkSession
-    n = FILES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    bounds = range_bounds(tokens.select(key.alias("_key")), n)
-    placed = tokens.select("doc_id", "ids", range_of(key, bounds or [0]).alias("file"))
+    placed = tokens.select("doc_id", "ids", range_of(_key(), bounds).alias("file"))
     sorted_rows = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids")
 
     def blocks_of(batches):
@@ -421,5 +428,5 @@ def round_trip(docs: DataFrame, name: str = "word_bpe_49k.json", end: int = 1) -
     """Encode, write to a new folder beside the checkpoints, read back."""
     spark = docs.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
-    write(tokenized(docs, name, end), path)
+    write(tokenized(docs, name, end), file_bounds(docs), path)
     return read(spark, path)
