@@ -200,9 +200,10 @@ SELECT c.path, c.line, c.rule_id, c.fingerprint, t.path IS NOT NULL AS suppresse
 FROM all_core c LEFT JOIN first_target t ON t.path = c.path AND t.rule_id = c.rule_id AND t.line = c.line""")
 SQL["suppression_warnings"] = with_views(CODE, LINES, CHAIN, MARKS, body=f"""
 SELECT path, CAST(line AS INTEGER) AS line, rule_id, 'unknown rule id' AS problem FROM marks WHERE rule_id NOT IN {sql_in(list(fv.RULES))}""")
-SQL["superseded"] = with_views(CODE, LINES, CHAIN, MARKS, body="""
-SELECT path, line, rule_id, fingerprint FROM all_core
-WHERE NOT (rule_id = 'NET001' AND (path, line) IN (SELECT (path, line) FROM chain WHERE variant = 'insecure-endpoint'))""")
+SQL["superseded"] = with_views(CODE, LINES, CHAIN, MARKS, """
+found AS MATERIALIZED (SELECT path, line, rule_id, fingerprint, variant FROM all_core),
+claims AS (SELECT DISTINCT path, line, 'NET001' AS rule_id FROM found WHERE variant = 'insecure-endpoint')""", body="""
+SELECT path, line, rule_id, fingerprint FROM found ANTI JOIN claims USING (path, line, rule_id)""")
 _DIMS = sql_case("CASE WHEN rule_id = 'AI005' THEN rule_id || '/' || variant ELSE rule_id END",
                  {**{r: ",".join(sorted(v)) for r, v in fv.RULE_DIMENSIONS.items()}, **{f"{r}/{v}": ",".join(sorted(d)) for (r, v), d in fv.VARIANT_DIMENSIONS.items()}})
 SQL["sarif_rows"] = with_views(CODE, LINES, CHAIN, MARKS, body=f"""
