@@ -252,3 +252,38 @@ SQL["stream_approval_windows"] = with_views(SPANS, GIVEN, f"""
 slid AS (SELECT *, time_bucket(INTERVAL 6 HOUR, start_at) - INTERVAL 6 HOUR * unnest([0, 1, 2, 3]) AS w FROM given WHERE hi)""", body=f"""
 SELECT strftime(w, {ISO}) AS window_start, agent_id, count(*) AS actions, count(*) FILTER (approval_span_id IS NOT NULL) AS approved,
   CAST(round_even(count(*) FILTER (approval_span_id IS NOT NULL) / count(*), 4) AS DOUBLE) AS rate FROM slid GROUP BY w, agent_id""")
+
+# ------------------------------------------------------------------ text tables and trace lines
+
+TEXTS = r"""
+files AS (
+  SELECT 'documents/' || doc_id || '.py' AS path, coalesce(text, '') AS content, 'python' AS language, false AS is_testlike FROM documents
+  UNION ALL SELECT 'pages/' || page_id || '.py', coalesce(html, ''), 'python', false FROM pages
+  UNION ALL SELECT 'conversations/' || conv_id || '-' || turn || '.py', coalesce(text, ''), 'python', false FROM conversations),
+lines AS (
+  SELECT path, is_testlike, unnest(regexp_split_to_array(content, '\r?\n')) AS text,
+    unnest(range(1, len(regexp_split_to_array(content, '\r?\n')) + 1)) AS line FROM files)"""
+SQL["text_rule_scan"] = SQL["code_line_findings"].replace(CODE, TEXTS)
+SQL["text_features"] = with_views(TEXTS, FEATURES, body="""
+SELECT path, array_to_string(providers, ',') AS providers, array_to_string(capabilities, ',') AS capabilities,
+  array_to_string(CASE WHEN list_has_any(capabilities, ['email_send', 'messaging']) THEN list_sort(list_append(tags, 'communicate')) ELSE tags END, ',') AS permission_tags,
+  array_to_string(list_sort(list_transform(sites, lambda x: split_part(x, '=', 1))), ',') AS integrations, array_to_string(controls, ',') AS controls FROM feats
+WHERE len(providers) + len(capabilities) + len(tags) + len(sites) + len(controls) > 0""")
+TRACES = f"""
+event_lines AS (
+  SELECT *, CAST(regexp_extract(trace_file, '([0-9]+)', 1) AS BIGINT) AS number, k % 31 <> 7 AS whole, NOT (k % 31 <> 7 AND k % 37 = 11) AS filled FROM spans),
+trace_files AS (SELECT DISTINCT trace_file, number, number % 6 <> 5 AS headed, number % 6 <> 5 AND number % 7 = 3 AS rejected FROM event_lines)"""
+SQL["trace_rejected"] = with_views(SPANS, TRACES, body="SELECT trace_file FROM trace_files WHERE rejected")
+SQL["trace_spans"] = with_views(SPANS, TRACES, body="""
+SELECT trace_file, trace_line, kind, span_id, agent_id, status, capability, amount, approval_span_id, epoch_ms(start_at) AS start_ms
+FROM event_lines JOIN trace_files USING (trace_file) WHERE whole AND filled AND NOT rejected""")
+SQL["trace_read_stats"] = with_views(SPANS, TRACES, """
+first_lines AS (SELECT trace_file, arg_min(whole, trace_line) FILTER (filled) AS first_whole FROM event_lines GROUP BY trace_file),
+per_file AS (
+  SELECT f.*, (SELECT count(*) FILTER (whole AND filled) FROM event_lines e WHERE e.trace_file = f.trace_file) AS good,
+    (SELECT count(*) FILTER (NOT whole) FROM event_lines e WHERE e.trace_file = f.trace_file) AS bad, l.first_whole FROM trace_files f JOIN first_lines l USING (trace_file))""", body="""
+SELECT count(*) FILTER (NOT rejected) AS files_read, count(*) FILTER (rejected) AS files_skipped, CAST(sum(good) FILTER (NOT rejected) AS BIGINT) AS spans_read,
+  CAST(sum(bad) FILTER (NOT rejected) AS BIGINT) AS bad_lines, count(*) FILTER (NOT headed AND first_whole) AS headers_missing,
+  CAST(sum(number % 4) FILTER (headed AND NOT rejected) AS BIGINT) AS dropped_spans,
+  CAST(max(CASE WHEN headed AND NOT rejected AND number % 5 <> 0 THEN 1 ELSE 0 END) AS INTEGER) AS saw_redacted,
+  CAST(max(CASE WHEN headed AND NOT rejected AND number % 5 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS saw_content FROM per_file""")

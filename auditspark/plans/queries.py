@@ -15,7 +15,7 @@ from auditspark.plans import corpus_scan
 from auditspark.session import cut_lineage, spread
 from auditspark.settings import Settings
 from auditspark.sinks import tables as sinks
-from auditspark.sources import code_corpus, declarations, derived
+from auditspark.sources import code_corpus, declarations, derived, traces
 from auditspark.streaming import spans as streams
 
 LOW = Settings(min_count=5, ratio_threshold=2.0)
@@ -607,6 +607,40 @@ def code_features(spark, d):
                     _joined("permission_tags").alias("permission_tags"), sites.alias("call_sites"), _joined("controls").alias("controls"))
 
 
+@query
+def text_rule_scan(spark, d):
+    """The line rules over documents, web pages and conversations."""
+    return line_rules.scan(derived.texts(spark, d)).select(
+        "path", "line", "column", "rule_id", "severity", "confidence", "snippet", "fingerprint")
+
+
+@query
+def text_features(spark, d):
+    """Features of documents, web pages and conversations that have any."""
+    f = features.file_features(derived.texts(spark, d))
+    some = F.size(F.concat("providers", "capabilities", "permission_tags", "integrations", "controls")) > 0
+    return f.where(some).select("path", _joined("providers").alias("providers"), _joined("capabilities").alias("capabilities"),
+                                _joined("permission_tags").alias("permission_tags"), _joined(F.array_sort("integrations")).alias("integrations"), _joined("controls").alias("controls"))
+
+
+@query
+def trace_spans(spark, d):
+    """Spans read back from lines of JSON, without those of files of a later major version."""
+    return traces.spans(traces.parse_lines(derived.trace_lines(spark, d))).select(
+        "trace_file", "trace_line", "kind", "span_id", "agent_id", "status", "capability", F.col("amount.amount").alias("amount"), "approval_span_id",
+        F.unix_millis("start_at").alias("start_ms"))
+
+
+@query
+def trace_read_stats(spark, d):
+    return traces.read_stats(traces.parse_lines(derived.trace_lines(spark, d)))
+
+
+@query
+def trace_rejected(spark, d):
+    return traces.rejected_from(traces.parse_lines(derived.trace_lines(spark, d)))
+
+
 @query
 def corpus_controls(spark, d):
     return features.corpus_controls(code_corpus.files(spark, d))

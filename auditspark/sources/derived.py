@@ -156,3 +156,34 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
         _chosen(fv.DATA_CLASSES + ["secrets"], c, 3, 5, 4, 1).alias("data_classes"),
         econ.alias("economic_authority"),
     )
+
+
+def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trace_file, trace_line, text): every event as a line of JSON, a header in front of most files.
+
+    Some headers name a later major version, some files have none, some lines are cut in half and some are blank.
+    """
+    s = spans(spark, sf_dir)
+    number = F.regexp_extract("trace_file", r"(\d+)", 1).cast("long")
+    json = F.to_json(F.struct("kind", "trace_id", "span_id", "agent_id", "start_ts", "end_ts", "status", "redaction", "capability", "integration",
+                              "provider", "model", F.struct(F.col("amount.amount").cast("double").alias("amount"), "amount.currency").alias("amount"), "approval_span_id"))
+    k = F.col("attrs")["k"].cast("long")
+    lines = s.withColumn("json", json).select(
+        "trace_file", F.col("trace_line").cast("long").alias("trace_line"),
+        F.when(k % 31 == 7, F.expr("substr(json, 1, length(json) div 2)")).when(k % 37 == 11, F.lit("  \t")).otherwise(F.concat(F.lit(" "), F.col("json"))).alias("text"))
+    header = F.to_json(F.struct(
+        F.lit("header").alias("kind"), F.when(number % 7 == 3, "spans/9.1").otherwise(f"spans/{fv.TRACE_MAJOR}.2").alias("schema"), (number % 4).alias("dropped_spans"),
+        F.when(number % 5 == 0, "content").otherwise("redacted").alias("redaction")))
+    heads = s.select("trace_file").distinct().where(number % 6 != 5).select("trace_file", F.lit(1).cast("long").alias("trace_line"), header.alias("text"))
+    return lines.unionByName(heads)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, web pages and conversation turns as files to scan."""
+    def of(name: str, path: Column, content: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(
+            F.concat(F.lit(name + "/"), path, F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.lit(False).alias("is_testlike"),
+            F.octet_length(F.coalesce(F.col(content), F.lit(""))).cast("long").alias("length"), F.coalesce(F.col(content), F.lit("")).alias("content"))
+
+    return of("documents", F.col("doc_id").cast("string"), "text").unionByName(of("pages", F.col("page_id").cast("string"), "html")).unionByName(
+        of("conversations", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "text"))

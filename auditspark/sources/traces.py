@@ -10,14 +10,18 @@ from auditspark.schemas import TRACE_RECORD
 
 
 def _parsed(raw: DataFrame) -> DataFrame:
-    """(trace_file, trace_line, record): one row per non-blank line; record null when malformed."""
     lines = raw.select(
         F.col("_metadata.file_name").alias("trace_file"),
         F.posexplode(F.split("value", "\n", -1)).alias("pos", "text"),
     )
+    return parse_lines(lines.select("trace_file", (F.col("pos") + 1).cast("long").alias("trace_line"), "text"))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """(trace_file, trace_line, text) -> (trace_file, trace_line, record, is_object) of non-blank lines; record null when malformed."""
     text = F.trim(F.regexp_replace("text", "^\\s+|\\s+$", ""))
     return (
-        lines.select("trace_file", (F.col("pos") + 1).cast("long").alias("trace_line"), text.alias("text"))
+        lines.select("trace_file", "trace_line", text.alias("text"))
         .where(F.col("text") != "")
         .select(
             "trace_file", "trace_line",
