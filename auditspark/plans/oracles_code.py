@@ -287,3 +287,64 @@ SELECT count(*) FILTER (NOT rejected) AS files_read, count(*) FILTER (rejected)
   CAST(sum(number % 4) FILTER (headed AND NOT rejected) AS BIGINT) AS dropped_spans,
   CAST(max(CASE WHEN headed AND NOT rejected AND number % 5 <> 0 THEN 1 ELSE 0 END) AS INTEGER) AS saw_redacted,
   CAST(max(CASE WHEN headed AND NOT rejected AND number % 5 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS saw_content FROM per_file""")
+
+# ------------------------------------------------------------------ data flow, as expected of each snippet
+
+# Facts that a reader counts in each choice of each slot of the code corpus, in the order of the slots: calls, plain
+# assignments, functions, loops with calls. The ninth choice of the seventh slot is no Python, so its files give one `degraded` row.
+EXPECTED_FACTS = [
+    {"call": [0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0], "assign": [0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0]},
+    {"assign": [1, 1, 0, 1, 1, 1, 1, 0, 1, 1, 1, 1, 1]},
+    {"call": [0, 0, 1, 0, 0, 0, 0], "assign": [1, 1, 1, 1, 1, 1, 0]},
+    {"assign": [1, 1, 1, 0, 1, 1]},
+    {"call": [1, 1, 1, 0, 1], "assign": [0, 0, 0, 0, 1], "function": [1, 1, 1, 1, 1]},
+    {"call": [1, 2, 1, 0], "function": [1, 1, 1, 1]},
+    {"call": [2, 3, 1, 2, 3, 2, 3, 0, 0, 1], "assign": [2, 2, 2, 2, 1, 1, 1, 1, 0, 0], "function": [1, 1, 1, 1, 2, 1, 1, 1, 0, 1],
+     "loop": [0, 0, 0, 0, 0, 1, 1, 0, 0, 0]},
+    {"call": [1, 2, 0, 0, 0, 2, 1, 2], "assign": [1, 2, 1, 1, 0, 1, 1, 1], "function": [0, 0, 0, 0, 1, 0, 0, 0]},
+    {"call": [1, 2, 1, 1, 1, 1, 1, 1, 0], "assign": [0, 0, 1, 0, 1, 0, 1, 1, 1], "function": [1, 1, 0, 1, 0, 0, 0, 0, 0]},
+    {"call": [1, 1, 1, 1, 1, 1, 1, 1, 2, 1], "assign": [1, 1, 1, 1, 1, 1, 1, 1, 2, 1]},
+]
+# choice of the seventh slot -> findings: rule, variant, severity, confidence, stops a gate, line, steps, tags
+EXPECTED_FLOWS = [
+    (0, "AI002", "exec", "critical", "high", True, "return eval(text)", 2, ""),
+    (1, "AI002", "sql", "critical", "high", False, "cursor.execute(sql)", 3, ""),
+    (2, "AI001", None, "high", "high", False, "return client.chat.completions.create(messages=[prompt])", 3, "system_role_interpolation"),
+    (3, "AI004", "pii", "medium", "high", False, "return client.responses.create(input=note)", 3, ""),
+    (3, "AI006", "pii", "medium", "high", False, "requests.post('https://crm{C}.net/in', json=note)", 3, ""),
+    (4, "AI002", "exec", "critical", "medium", False, "os.system(cmd)", 2, ""),
+]
+
+
+def _choice(slot: int) -> str:
+    from auditspark.sources.code_corpus import SLOTS
+
+    a, b, choices = SLOTS[slot]
+    return f"((o_orderkey * {a} + o_custkey * {b}) % {len(choices)})"
+
+
+def _text(value) -> str:
+    return "NULL" if value is None else "'" + str(value).replace("'", "''") + "'"
+
+
+_FACT_SUMS = ", ".join(
+    " + ".join(f"({e[kind]})[{_choice(i)} + 1]" for i, e in enumerate(EXPECTED_FACTS) if kind in e) + f" AS {kind}_n" for kind in ("call", "assign", "function", "loop"))
+PARSED = f"""
+python_files AS (
+  SELECT path, content, o_custkey, {_choice(6)} AS choice, {_FACT_SUMS}
+  FROM files JOIN orders ON o_orderkey = CAST(regexp_extract(path, '/f([0-9]+)[.]', 1) AS BIGINT) WHERE language = 'python')"""
+SQL["flow_facts"] = with_views(CODE, PARSED, body=" UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, CAST(sum({kind}_n) AS BIGINT) AS n, count(*) FILTER ({kind}_n > 0) AS files FROM python_files WHERE choice <> 8 HAVING sum({kind}_n) > 0"
+    for kind in ("call", "assign", "function", "loop")) + " UNION ALL SELECT 'degraded', count(*), count(*) FROM python_files WHERE choice = 8 HAVING count(*) > 0")
+_LOCAL_MODEL = f"({has('content', fv.LOCAL_ENDPOINT)} OR {has('content', fv.PROVIDER_PATTERNS['ollama'])})"
+SQL["flow_findings"] = with_views(CODE, PARSED, f"""
+expected(choice, rule_id, variant, severity, confidence, gate_eligible, shown, steps, tags) AS (VALUES {', '.join(
+    f"({c}, '{r}', {_text(v)}, '{s}', '{k}', {g}, {_text(t)}, {n}, '{w}')" for c, r, v, s, k, g, t, n, w in EXPECTED_FLOWS)}),
+told AS (
+  SELECT path, rule_id, variant, confidence, gate_eligible, replace(shown, '{{C}}', CAST(o_custkey AS VARCHAR)) AS snippet, steps,
+    CASE WHEN rule_id = 'AI004' AND {_LOCAL_MODEL} THEN 'low' ELSE severity END AS severity,
+    CASE WHEN rule_id = 'AI004' AND {_LOCAL_MODEL} THEN 'local_endpoint_observed' ELSE tags END AS tags
+  FROM python_files JOIN expected USING (choice))""", body=f"""
+SELECT t.path, CAST(l.line AS INTEGER) AS line, rule_id, variant, severity, confidence, gate_eligible, snippet, steps, tags,
+  {fp('rule_id', 't.path', "concat_ws(':', rule_id, variant, snippet)")} AS fingerprint
+FROM told t JOIN lines l ON l.path = t.path AND trim(l.text) = snippet""")
