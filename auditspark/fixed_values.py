@@ -65,7 +65,7 @@ RISK_LIST = {
 # FIXED VALUES - agent-construct patterns by framework, with display labels
 # --------------------------------------------------------------------------------------
 FRAMEWORK_PATTERNS = {
-    "langchain": r"\b(?:AgentExecutor|initialize_agent|create_(?:react|tool_calling|toolCalling|openai_functions|openaiFunctions)(?:_agent|Agent))\s*\(",
+    "langchain": r"\b(?:AgentExecutor|initialize_agent|create(?:_|(?=[A-Z]))(?:react|tool_calling|toolCalling|openai_functions|openaiFunctions)(?:_agent|Agent))\s*\(",
     "langgraph": r"\b(?:create_react_agent|createReactAgent|StateGraph)\s*\(",
     "crewai": r"\bCrew\s*\(|\bAgent\s*\(\s*(?:role|goal|backstory)\s*=",
     "autogen": r"\b(?:AssistantAgent|ConversableAgent|UserProxyAgent|RoundRobinGroupChat|SelectorGroupChat)\s*\(",

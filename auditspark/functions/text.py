@@ -155,6 +155,13 @@ def snippet(text: Column) -> Column:
     return text
 
 
+def amount_text(amount: Column) -> Column:
+    """A number as plain digits with at least one decimal, where a cast would use an exponent from ten million on."""
+    digits = F.rtrim(amount.cast("decimal(38,10)").cast("string"), F.lit("0"))
+    return F.when((F.abs(amount) >= 1e7) & (F.abs(amount) < 1e16), F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)).otherwise(
+        amount.cast("string"))
+
+
 def entropy(token: Column) -> Column:
     """Bits per character."""
     n = F.length(token).cast("double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditspark import fixed_values as fv
 from auditspark.functions import levels as L
+from auditspark.functions import text as X
 from auditspark.functions.text import finding_fingerprint
 from auditspark.operators import spans as S
 from auditspark.settings import DEFAULT, Settings
@@ -75,15 +76,15 @@ def detect(agents: DataFrame, declared: DataFrame, spans: DataFrame, settings: S
             F.col("file").alias("ref_file"), F.col("line").alias("ref_line"), F.col("span_id").alias("ref_span"))
         single = base.join(biggest, "id").where(
             (F.col("seen_currency") == F.col("max_per_action.currency")) & (F.col("seen_amount") > F.col("max_per_action.amount")))
-        context = F.concat(F.lit("observed "), F.col("seen_amount").cast("string"), F.lit(" "), F.col("seen_currency"),
-                           F.lit(" > declared max_per_action "), F.col("max_per_action.amount").cast("string"))
+        context = F.concat(F.lit("observed "), X.amount_text(F.col("seen_amount")), F.lit(" "), F.col("seen_currency"),
+                           F.lit(" > declared max_per_action "), X.amount_text(F.col("max_per_action.amount")))
         out.append(_rows(single, "RT002", context, "high", settings, "economic_authority.max_per_action"))
         totals = S.amount_totals(spans).select(F.col("agent_id").alias("id"), F.col("currency").alias("sum_currency"), "total")
         daily = base.join(totals, "id").where(
             (F.col("sum_currency") == F.coalesce("daily_aggregate.currency", F.lit("USD"))) & (F.col("total") > F.col("daily_aggregate.amount")))
         daily = daily.join(biggest.select("id", "ref_file", "ref_line", "ref_span"), "id", "left")
-        context = F.concat(F.lit("window total "), F.col("total").cast("string"), F.lit(" "), F.col("daily_aggregate.currency"),
-                           F.lit(" > declared daily_aggregate "), F.col("daily_aggregate.amount").cast("string"))
+        context = F.concat(F.lit("window total "), X.amount_text(F.col("total")), F.lit(" "), F.col("daily_aggregate.currency"),
+                           F.lit(" > declared daily_aggregate "), X.amount_text(F.col("daily_aggregate.amount")))
         out.append(_rows(daily, "RT002", context, "high", settings, "economic_authority.daily_aggregate"))
 
     if settings.on("RT003"):

@@ -21,7 +21,8 @@ DRIFT_FIELDS = ["kind", "capability", "integration"]
 
 
 def iso(ts: Column) -> Column:
-    return F.date_format(ts, TS_FORMAT)
+    """UTC text of an instant, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), TS_FORMAT)
 
 
 def is_high_impact_action() -> Column:

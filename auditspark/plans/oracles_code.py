@@ -10,7 +10,7 @@ from auditspark.plans.queries import OWNERS
 
 def q(pattern: str) -> str:
     """A pattern as a SQL text literal, without the look-behind the engine lacks."""
-    p = pattern.replace(r"(?<![\w.])", r"(?:^|[^\w.])").replace(r"(?<![A-Za-z0-9])", "").replace(r"(?![A-Za-z0-9])", "")
+    p = pattern.replace("(?:_|(?=[A-Z]))", "_").replace(r"(?<![\w.])", r"(?:^|[^\w.])").replace(r"(?<![A-Za-z0-9])", "").replace(r"(?![A-Za-z0-9])", "")
     return "'" + p.replace("'", "''") + "'"
 
 
