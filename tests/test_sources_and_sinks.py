@@ -134,7 +134,7 @@ def test_new_lines_across_blocks(spark):
     assert sorted((x.path, x.line, x.is_new) for x in findings.mark_new(f, r).collect()) == [("p", 1, False), ("p", 1500, True), ("p", 5000, False), ("q", 1, False)]
 
 
-def test_rename_assignment_matches_one_by_one_choice(spark, monkeypatch):
+def test_rename_assignment_matches_one_by_one_choice(spark):
     import random
 
     random.seed(3)
@@ -148,7 +148,6 @@ def test_rename_assignment_matches_one_by_one_choice(spark, monkeypatch):
         if best and len(sets[b] & sets[best]) / len(sets[b] | sets[best]) >= 0.7:
             want[b] = best
             free.discard(best)
-    monkeypatch.setattr(snapshot, "BLOCK", 7)
     schema = "id string, hashes array<string>"
     got = snapshot.renames(spark.createDataFrame(base, schema), spark.createDataFrame(head, schema))
     assert {r.base_id: r.head_id for r in got.collect()} == want
