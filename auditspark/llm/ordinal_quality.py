@@ -78,16 +78,18 @@ def features(text: str | None) -> list[int]:
 
 def fit(rows: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, their weights, thresholds) by full-batch Adam on the mean log-likelihood with weight decay."""
-    n, sizes = len(rows), np.array([len(r) for r in rows])
-    flat = np.concatenate(rows).astype(np.int64)
-    places, where, count = np.unique(flat, return_inverse=True, return_counts=True)
-    doc, off = np.repeat(np.arange(n), sizes), grades - grades.mean()
+    n, off = len(rows), grades - grades.mean()
+    count, told = np.zeros(PLACES, np.int64), np.zeros(PLACES)
+    for i in range(0, n, 2000):  # some rows at a time: only what is kept of them stays
+        part = rows[i:i + 2000]
+        flat = np.concatenate(part)
+        count += np.bincount(flat, minlength=PLACES)
+        told += np.bincount(flat, np.repeat(off[i:i + 2000], [len(r) for r in part]), PLACES)
     chance = count / n * (1 - count / n) * (off @ off)  # variance of a feature's summed deviation if it told nothing
-    telling = np.abs(np.bincount(where, off[doc], len(places))) >= SCREEN * np.sqrt(np.maximum(chance, 1e-12))
-    kept = telling & (count >= max(3, LEAST_SHARE * n))
-    new = np.cumsum(kept) - 1
-    used = kept[where]
-    doc, col, places = doc[used], new[where[used]], places[kept]
+    kept = (np.abs(told) >= SCREEN * np.sqrt(np.maximum(chance, 1e-12))) & (count >= max(3, LEAST_SHARE * n))
+    new, places = np.cumsum(kept) - 1, np.flatnonzero(kept)
+    used = [new[r[kept[r]]] for r in rows]
+    doc, col = np.repeat(np.arange(n), [len(u) for u in used]), np.concatenate(used)
     share = np.array([np.mean(grades >= k) for k in range(1, GRADES)]).clip(1e-3, 1 - 1e-3)
     params = np.concatenate([np.zeros(len(places)), np.maximum.accumulate(-np.log(share / (1 - share)))])
     k = len(places)
