@@ -5,7 +5,7 @@ bits: its count of leading zeros and ten mantissa bits. Empty buckets borrow the
 fixed random order, so that short texts band as well as long ones. Five registers make a band; documents that share
 a band are candidates; a Jaccard estimate from equal registers, corrected for accidental equality, comes before the
 check on full sets. Two documents at a Jaccard similarity of exactly 0.8 share no band with a chance of
-(1 - 0.8^5)^51, about 2e-9; the estimate must be more than six standard deviations low to lose them.
+(1 - 0.8^5)^51, about 2e-9; the estimate must be six standard deviations low to lose them.
 
 Equal sets are one class, found by a digest of the set, so copies never form pairs. A group of near copies isn't
 expanded into pairs either: each band's documents are first compared with the one document of the band that is in
@@ -34,8 +34,10 @@ REGISTERS, BAND, MANTISSA = 256, 5, 10
 BANDS = REGISTERS // BAND
 #: Documents of a block in the second comparison.
 BLOCK = 256
-#: The estimate's slack below the threshold: over six times sqrt(0.8 * 0.2 / 256).
-SLACK = 0.2
+#: The estimate's slack below the threshold: six times sqrt(0.8 * 0.2 / 256).
+SLACK = 0.15
+#: Cells of a block's table of shingles by documents; larger ones are compared pair by pair.
+DENSE = 100_000_000
 #: Chance that two unrelated registers are equal: the same zero count (about one half) and the same mantissa.
 ACCIDENT = 0.5 / 2**MANTISSA
 #: Ids from here on stand in for missing ones.
@@ -179,14 +181,23 @@ def _compare_blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd
     n = [np.array([len(s) for s in x]) for x in sets]
     ids, comps = [x["id"].to_numpy() for x in (left, right)], [x["component"].to_numpy() for x in (left, right)]
     least, found = percent / 100 - SLACK, []
+    flat = np.concatenate(sets[1])
+    known, column = np.unique(flat, return_inverse=True)
+    held = np.zeros((len(known), len(right)), np.uint8) if len(known) * len(right) <= DENSE else None  # who holds a shingle
+    if held is not None:
+        held[column, np.repeat(np.arange(len(right)), n[1])] = 1
     for i, (s, r) in enumerate(zip(sets[0], regs[0])):
         near = np.flatnonzero((comps[1] != comps[0][i]) & (100 * np.minimum(n[0][i], n[1]) >= percent * np.maximum(n[0][i], n[1])))
-        near = near[estimate((regs[1][near] == r).mean(1)) >= least]
         if len(near):
-            many = np.concatenate([sets[1][j] for j in near])
-            at = np.minimum(np.searchsorted(s, many), len(s) - 1)
-            inter = np.add.reduceat((s[at] == many).astype(np.int64), np.r_[0, np.cumsum(n[1][near])[:-1]])
-            found += [(ids[0][i], ids[1][j]) for j in near[similar(inter, n[0][i], n[1][near], percent)]]
+            near = near[estimate((regs[1][near] == r).mean(1)) >= least]
+        if not len(near):
+            continue
+        if held is not None:
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            inter = held[at[known[at] == s]].sum(0, dtype=np.int64)[near]
+        else:  # long texts: one pair after the other, by the same rule
+            inter = np.array([len(np.intersect1d(s, sets[1][j], assume_unique=True)) for j in near])
+        found += [(ids[0][i], ids[1][j]) for j in near[similar(inter, n[0][i], n[1][near], percent)]]
     return pd.DataFrame(found, columns=["a", "b"]) if found else out
 
 
