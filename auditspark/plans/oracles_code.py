@@ -3,8 +3,8 @@
 from auditspark import fixed_values as fv
 from auditspark.operators.features import REPO_CONTROLS
 from auditspark.operators.findings import DIRECTIVE_MARKER
-from auditspark.plans.oracle_views import AGENTS, CODE, DECLARED, ISO, SPANS, sql_case, sql_in, sql_list, with_views
-from auditspark.plans.oracles import GIVEN, SQL
+from auditspark.plans.oracle_views import AGENTS, CODE, DECLARED, FINDINGS, ISO, SPANS, sql_case, sql_in, sql_list, with_views
+from auditspark.plans.oracles import APPROVED, GIVEN, SNAP, SQL
 from auditspark.plans.queries import OWNERS
 
 
@@ -348,3 +348,21 @@ told AS (
 SELECT t.path, CAST(l.line AS INTEGER) AS line, rule_id, variant, severity, confidence, gate_eligible, snippet, steps, tags,
   {fp('rule_id', 't.path', "concat_ws(':', rule_id, variant, snippet)")} AS fingerprint
 FROM told t JOIN lines l ON l.path = t.path AND trim(l.text) = snippet""")
+
+# ------------------------------------------------------------------ summaries and documents
+
+SQL["stale_approvals"] = with_views(SNAP, APPROVED, body="SELECT DISTINCT agent_id, kind, value, stale_reason AS reason FROM approved WHERE stale_reason IS NOT NULL")
+_LEVEL = f"list_position({sql_list(fv.CONFIDENCES)}, confidence)"
+SQL["confidence_changes"] = with_views(AGENTS, f"""
+moved AS (
+  SELECT id, confidence, {_LEVEL} AS old, least(greatest({_LEVEL} + CASE WHEN key % 4 = 0 THEN 1 WHEN key % 7 = 0 THEN -1 ELSE 0 END, 1), {len(fv.CONFIDENCES)}) AS now FROM agents)""", body=f"""
+SELECT id AS agent_id, confidence AS base, ({sql_list(fv.CONFIDENCES)})[now] AS head, CASE WHEN now > old THEN 'medium' END AS drift FROM moved WHERE now <> old""")
+_COUNTS = ", ".join(f"count(*) FILTER (NOT suppressed AND severity = '{s}') AS n_{s}, count(*) FILTER (NOT suppressed AND line % 4 = 0 AND severity = '{s}') AS new_{s}" for s in fv.SEVERITIES)
+SQL["registry_summary"] = with_views(AGENTS, FINDINGS, body=f"""
+SELECT (SELECT count(DISTINCT path) FROM agents) AS files_scanned, (SELECT count(*) FROM agents) AS agent_candidates,
+  (SELECT count(*) FILTER (confidence = 'high') FROM agents) AS high_confidence, (SELECT count(DISTINCT i) FROM (SELECT unnest(integrations) AS i FROM agents)) AS integrations,
+  {_COUNTS}, count(*) FILTER (suppressed) AS suppressed_findings FROM findings""")
+SQL["sarif_rules"] = with_views(AGENTS, FINDINGS, body=f"""
+SELECT rule_id, {sql_case('rule_id', {r: v[0] for r, v in fv.RULES.items()})} AS title,
+  array_to_string(list_filter(['security', {sql_case('rule_id', {r: v[1] for r, v in fv.RULES.items()})}, {sql_case('rule_id', {r: 'owasp-' + v[0].lower() for r, v in fv.RISK_LIST.items()})}], lambda x: x IS NOT NULL), ',') AS tags
+FROM (SELECT DISTINCT rule_id FROM findings)""")

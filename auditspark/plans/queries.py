@@ -252,6 +252,34 @@ def exposure_rank_topk(spark, d):
     return exposure.ranked(s, 25).select("id", "path", "exposure_score")
 
 
+@query
+def registry_summary(spark, d):
+    """The summary block of a registry, with one file for each path that has an agent."""
+    agents = derived.registry_agents(spark, d)
+    f = derived.registry_findings(agents).withColumn("is_new", F.col("line") % 4 == 0)
+    return exposure.registry_summary(agents.select("path").distinct(), agents, f)
+
+
+@query
+def confidence_changes(spark, d):
+    """Agents whose confidence moved one level, up for some customers and down for others."""
+    base = derived.registry_agents(spark, d).select("id", "confidence")
+    key = F.substring("id", 2, 12).cast("long")
+    moved = L.step(F.col("confidence"), fv.CONFIDENCES, F.when(key % 4 == 0, 1).when(key % 7 == 0, -1).otherwise(0))
+    return snapshot.confidence_changes(base, base.select("id", moved.alias("confidence")))
+
+
+@query
+def stale_approvals(spark, d):
+    return snapshot.stale_approvals(_approved(spark, d, _changes(spark, d)[3]))
+
+
+@query
+def sarif_rules(spark, d):
+    rules = sinks.sarif_rules(derived.registry_findings(derived.registry_agents(spark, d)))
+    return rules.select("rule_id", "title", _joined("tags").alias("tags"))
+
+
 @query
 def severity_counts(spark, d):
     agents = derived.registry_agents(spark, d)
