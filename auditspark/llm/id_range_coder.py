@@ -21,6 +21,7 @@ hold, raise an error; other columns are ignored.
 from __future__ import annotations
 
 import math
+import os
 import re
 import struct
 import uuid
@@ -264,28 +265,30 @@ class Words(dict):
     vocabulary's pre-tokenizer, and composition of characters doesn't cross it.
     """
 
-    CACHE = 300_000
+    CACHE = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids of 2^16 or more don't fit this format")
 
-    def ids(self, text: str, end: int) -> bytes:
-        pieces = text.split() if not _NOT_SPACE.search(text) else _PIECE.findall(text)
-        new = [p for p in dict.fromkeys(pieces) if p not in self]
+    def ids(self, texts: list[str], end: int) -> list[bytes]:
+        split = [t.split() if not _NOT_SPACE.search(t) else _PIECE.findall(t) for t in texts]
+        new = [p for p in dict.fromkeys(p for pieces in split for p in pieces) if p not in self]
         if new:
             if len(self) + len(new) > self.CACHE:
                 self.clear()
-                new = list(dict.fromkeys(pieces))
-            for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+                new = list(dict.fromkeys(p for pieces in split for p in pieces))
+            for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 self[piece] = np.array(found.ids, "<u2").tobytes()
-        return b"".join([*map(self.__getitem__, pieces), struct.pack("<H", end)])
+        last = struct.pack("<H", end)
+        return [b"".join([*map(self.__getitem__, pieces), last]) for pieces in split]
 
 
 def tokenized(docs: DataFrame, name: str = "word_bpe_49k.json", end: int = 1) -> DataFrame:
@@ -293,7 +296,8 @@ def tokenized(docs: DataFrame, name: str = "word_bpe_49k.json", end: int = 1) ->
     path = tokenizer_path(name)
 
     def rows(batch: pa.RecordBatch, words: Words) -> pa.RecordBatch:
-        ids = [words.ids(t or "", end) for t in batch.column(1).to_pylist()]
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        ids = [x for i in range(0, len(texts), 100) for x in words.ids(texts[i:i + 100], end)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, ids binary", lambda: Words(path))
