@@ -16,6 +16,8 @@ of those before; repeated rows repeat; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import base64
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -32,18 +34,20 @@ LONG_WORD = 64
 
 
 class Counter(dict):
-    """Number of tokens of a pre-token, by the tokenizer library; remembers short ones."""
+    """Number of tokens of a pre-token, by the tiktoken library; remembers short ones."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text, so that every cut is the pattern's
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        # special tokens' strings are ordinary text here, so that every cut is the pattern's
+        self.encoding = tiktoken.Encoding("pre-tokens", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.words = regex.compile(PATTERN)
 
     def __missing__(self, word: str) -> int:
-        n = len(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        n = len(self.encoding.encode_ordinary(word))
         if len(word) < LONG_WORD:
             if len(self) >= CACHE:
                 self.clear()
@@ -155,17 +159,21 @@ class SegmentTree:
 
     def leaves(self) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and counts of all pre-tokens, in order."""
-        both = [self.leaf(i) for i in range(self.size)] if self.lists else None
-        if both is None:
-            used = self.sums[:, self.size:][:, self.sums[0, self.size:] > 0].astype(np.int32)
-            return used[0], used[1]
-        return tuple(np.array([x for leaf in both for x in leaf[side]], np.int32) for side in (0, 1))
+        single, parts, at = self.sums[:, self.size:].astype(np.int32), [], 0
+        for i in [*sorted(self.lists), self.size]:
+            between = single[:, at:i]
+            parts.append(between[:, between[0] > 0])
+            if i < self.size:
+                parts.append(np.array(self.lists[i], np.int32).reshape(2, -1))
+            at = i + 1
+        both = np.concatenate(parts, 1)
+        return both[0], both[1]
 
 
 EDITS = "array<struct<position:int,deleted:int,inserted:string>>"
 
 
-def trees(docs: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
+def trees(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """The columns of *docs* and the leaves of each text's tree: `leaf_lengths`, `leaf_tokens` (32-bit integers)."""
     path, kept = tokenizer_path(name), [c for c in docs.columns if c not in ("leaf_lengths", "leaf_tokens")]
 
@@ -178,7 +186,7 @@ def trees(docs: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
     return map_batches(docs.select(*kept), rows, schema, lambda: Counter(path))
 
 
-def recounted(with_trees: DataFrame, edits: Column, name: str = "byte_bpe_50k.json") -> DataFrame:
+def recounted(with_trees: DataFrame, edits: Column, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """doc_id, n_pretokens, n_tokens before, n_edits, encoded_pretokens, n_tokens_edited, n_chars_edited, and the edited
     text and leaves, from trees and a column of edits."""
     path = tokenizer_path(name)
