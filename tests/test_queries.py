@@ -1,6 +1,7 @@
 """The registered queries against their SQL at the smallest scale, and stream against batch."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -42,7 +43,8 @@ def test_query_matches_sql(spark, sf, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"rename_assignment", "flow_facts", "flow_findings", "autonomy_ladder"}
+    without = set(queries()) - set(oracle_sql())
+    assert {name for name in without if not re.match(r"op\d+_|pipeline$", name)} == {"autonomy_ladder"}
 
 
 def test_entry(spark):
