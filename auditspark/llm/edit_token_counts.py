@@ -31,6 +31,8 @@ from auditspark.llm.common import map_batches, tokenizer_path
 LOOK = 2
 #: A pre-token this long or longer is counted without being remembered.
 LONG_WORD = 64
+#: Rows handled at a time, which bounds a task's memory.
+SLICE = 500
 
 
 class Counter(dict):
@@ -183,7 +185,7 @@ def trees(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, *more], [*kept, "leaf_lengths", "leaf_tokens"])
 
     schema = docs.select(*kept).schema.add("leaf_lengths", "binary").add("leaf_tokens", "binary")
-    return map_batches(docs.select(*kept), rows, schema, lambda: Counter(path))
+    return map_batches(docs.select(*kept), lambda batch, count: (rows(batch.slice(i, SLICE), count) for i in range(0, batch.num_rows, SLICE)), schema, lambda: Counter(path))
 
 
 def recounted(with_trees: DataFrame, edits: Column, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -211,7 +213,8 @@ def recounted(with_trees: DataFrame, edits: Column, name: str = "byte_bpe_50k.ti
     kind = with_trees.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, n_pretokens long, n_tokens long, n_edits long, encoded_pretokens long, n_tokens_edited long, n_chars_edited long, "
               "edited string, leaf_lengths binary, leaf_tokens binary")
-    return map_batches(with_trees.select("doc_id", "text", "leaf_lengths", "leaf_tokens", edits.cast(EDITS).alias("_edits")), rows, schema, lambda: Counter(path))
+    return map_batches(with_trees.select("doc_id", "text", "leaf_lengths", "leaf_tokens", edits.cast(EDITS).alias("_edits")),
+                       lambda batch, count: (rows(batch.slice(i, SLICE), count) for i in range(0, batch.num_rows, SLICE)), schema, lambda: Counter(path))
 
 
 def own_edits(text: Column) -> Column:
