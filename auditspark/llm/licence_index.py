@@ -2,11 +2,12 @@
 
 Licence notices are templates; every content word of a template is posted with its position. A file's words are reduced
 to those that any template holds, with their positions, in one pass over the text. Document frequencies of these
-words over all files give their IDF, and each file looks up its LOOKED_UP rarest ones. A posting moves the file's
-position back by the template's; words of one notice agree on where it starts, so the places where at least
-LEAST_SHARE of a template's words (of LOOKED_UP at most) agree, two at least, are its candidates. A candidate counts if the template's
-key phrase stands at its position from there. The base phrases are key phrases as well: they count wherever their words stand
-in a row, since all their words are in the index.
+words over all files give their IDF. A posting moves the file's position back by the template's; words of one notice agree on
+where it starts. The places where at least LEAST_SHARE of a template's words agree, two at least, are its candidates. Of each
+template only the rarest postings are looked up, one more than a candidate may lack, so every candidate is found by
+one of them; its share is then counted from all words of the file around it. A candidate counts if the template's key phrase
+stands at its position from there. The base phrases are key phrases as well: they count wherever their words stand in
+a row, since all their words are in the index.
 
 Defined cases: null and empty texts have no words, no labels and score 0; every text is scanned whole; repeated rows
 repeat (rows are told apart by number, not by doc_id); an empty table gives no rows; other columns are ignored.
@@ -46,9 +47,7 @@ TEMPLATES = {
 }
 #: Function words, which aren't posted.
 COMMON = frozenset("a an and any are as at by can for if in into is it may not of or that the this to under use v with without you 0 2 4".split())
-#: Words that a file looks up.
-LOOKED_UP = 24
-#: Of a template's content words, or of LOOKED_UP, so many must agree on its start.
+#: Of a template's content words so many must agree on its start.
 LEAST_SHARE = 0.6
 
 
@@ -90,22 +89,46 @@ def idf(rows: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     return {w: math.log((n + 1) / (seen.get(w, 0) + 1)) for w in vocabulary}
 
 
+def rarest(posted: dict[str, list[tuple[str, int]]], rarity: dict[str, float]) -> dict[str, list[tuple[str, int]]]:
+    """Of every template the rarest postings, so many that a start on which none of them agrees lacks too many words."""
+    own: dict[str, list[tuple[float, str, int]]] = {}
+    for word, places_ in posted.items():
+        for label, at in places_:
+            own.setdefault(label, []).append((-rarity[word], word, at))
+    found: dict[str, list[tuple[str, int]]] = {}
+    for label, ps in own.items():
+        least = next((v for v in range(2, len(ps) + 1) if v / len(ps) >= LEAST_SHARE), len(ps))
+        for _, word, at in sorted(ps)[:len(ps) - least + 1]:
+            found.setdefault(word, []).append((label, at))
+    return found
+
+
 def candidates(rows: DataFrame, rarity: dict[str, float], posted: dict[str, list[tuple[str, int]]]) -> DataFrame:
-    """row, label, start, share of templates that agree on a start."""
-    order = {w: i for i, w in enumerate(sorted(rarity, key=lambda w: (-rarity[w], w)))}  # the rarest first
-    ranks = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    post = F.create_map(*[x for w, ps in posted.items() for x in (
+    """row, label, start, share of templates that agree on a start; a start comes once for each rare word that finds it."""
+    held: dict[str, dict[int, str]] = {}
+    for word, ps in posted.items():
+        for label, at in ps:
+            held.setdefault(label, {})[at] = word
+    post = F.create_map(*[x for w, ps in rarest(posted, rarity).items() for x in (
         F.lit(w), F.array(*[F.struct(F.lit(t).alias("label"), F.lit(at).alias("at")) for t, at in ps]))])
-    looked_up = F.slice(F.array_sort(F.transform(F.array_distinct("hits.word"), lambda w: F.element_at(ranks, w))), 1, LOOKED_UP)
-    held = {t: sum(u == t for ps in posted.values() for u, _ in ps) for t in {t for ps in posted.values() for t, _ in ps}}
-    most = F.create_map(*[F.lit(x) for t, n in sorted(held.items()) for x in (t, min(n, LOOKED_UP))])
-    asked = rows.where(F.size("hits") >= 2).select("row", "hits", looked_up.alias("_asked"))
-    one = asked.select("row", "_asked", F.explode("hits").alias("_hit")).where(F.array_contains("_asked", F.element_at(ranks, F.col("_hit.word"))))
-    voted = one.select("row", "_hit", F.explode(F.element_at(post, F.col("_hit.word"))).alias("_post")).select(
-        "row", F.col("_post.label").alias("label"), (F.col("_hit.at") - F.col("_post.at")).alias("start"))
-    votes = voted.groupBy("row", "label", "start").agg(F.count(F.lit(1)).alias("_votes"))
-    share = F.col("_votes") / F.element_at(most, F.col("label"))
-    return votes.where((F.col("_votes") >= 2) & (share >= LEAST_SHARE)).select("row", "label", "start", share.alias("share"))
+    words_of = F.create_map(*[x for t, ws in held.items() for x in (F.lit(t), F.array(*[F.lit(ws.get(i)).cast("string") for i in range(max(ws) + 1)]))])
+    most = F.create_map(*[F.lit(x) for t, ws in held.items() for x in (t, len(ws))])
+    length = max(max(ws) for ws in held.values()) + 1
+
+    def found(hit: Column, j: Column) -> Column:
+        first = F.greatest(j - length, F.lit(0))
+        near = F.slice("hits", first + 1, F.lit(2 * length + 1))  # a template's words are no further apart
+
+        def voted(p: Column) -> Column:
+            start = hit["at"] - p["at"]
+            agree = F.filter(near, lambda h: F.get(F.element_at(words_of, p["label"]), h["at"] - start) == h["word"])
+            return F.struct(p["label"].alias("label"), start.alias("start"), F.size(agree).alias("votes"))
+
+        return F.transform(F.coalesce(F.element_at(post, hit["word"]), F.array().cast("array<struct<label:string,at:int>>")), voted)
+
+    votes = rows.where(F.size("hits") >= 2).select("row", F.explode(F.flatten(F.transform("hits", found))).alias("_v"))
+    share = F.col("_v.votes") / F.element_at(most, F.col("_v.label"))
+    return votes.where((F.col("_v.votes") >= 2) & (share >= LEAST_SHARE)).select("row", "_v.label", "_v.start", share.alias("share"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -112,6 +112,37 @@ def test_licence_scan(docs, awkward, nothing):
     assert licences.scan(nothing).count() == 0
 
 
+def _licence_labels(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    labels, best = {label for _, label in _licence_places(text)[1]}, 0.0
+    score = 1.0 if labels else 0.0
+    for label, (notice, key) in licences.TEMPLATES.items():
+        own, k = notice.split(), key.split()
+        content = [i for i, w in enumerate(own) if w not in licences.COMMON]
+        offset = next(i for i in range(len(own)) if own[i:i + len(k)] == k)
+        for start in range(-len(own), len(words)):
+            votes = sum(0 <= start + i < len(words) and words[start + i] == own[i] for i in content)
+            if votes >= 2 and votes / len(content) >= licences.LEAST_SHARE and start + offset >= 0 and words[start + offset:start + offset + len(k)] == k:
+                labels.add(label)
+                best = max(best, votes / len(content))
+    return ",".join(sorted(labels)), score or best
+
+
+def test_many_notices_in_one_file(docs):
+    rnd, notices = random.Random(8), {t: notice for t, (notice, _) in licences.TEMPLATES.items()}
+    vocabulary = sorted(licences.postings())
+    texts = [" ".join(notices.values()), *[" ".join(notices[t] for t in ts.split()) for ts in ("bsd isc lgpl", "bsd cc lgpl mit")]]
+    texts += [" ".join([*rnd.sample(vocabulary, len(vocabulary)), notice, *rnd.choices(vocabulary, k=400)]) for notice in notices.values()]
+    for _ in range(60):
+        words = " ".join(rnd.sample(list(notices.values()), rnd.randint(1, 9))).split()
+        for at in rnd.sample(range(len(words)), len(words) * rnd.choice([0, 1, 2, 3]) // 10):
+            words[at] = rnd.choice([*vocabulary, "other"])
+        texts.append(" ".join(words))
+    got = {r.doc_id: (r.labels, r.score) for r in licences.scan(docs(*texts)).collect()}
+    assert got[0][0] == "apache,bsd,cc,gpl,isc,lgpl,mit,mpl,unlicense"
+    assert got == {i: _licence_labels(t) for i, t in enumerate(texts)}
+
+
 def test_bpe_equals_the_library(docs, awkward, nothing):
     from tokenizers import Tokenizer
 
