@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from auditspark.llm.common import WORD, text_or_empty
 
-SAMPLES = 32
+SAMPLES = 64
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 4
 

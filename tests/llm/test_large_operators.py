@@ -109,6 +109,20 @@ def test_fingerprints(docs, awkward, nothing):
     assert prints.fingerprints(nothing).count() == 0
 
 
+def test_likeness_has_the_error_of_64_samples(docs):
+    rnd, texts = random.Random(9), []
+    for _ in range(150):
+        base = rnd.choices([f"w{i}" for i in range(500)], k=80)
+        texts += [" ".join(base), " ".join(w if rnd.random() < 0.85 else rnd.choice(base) + "x" for w in base)]
+    got = {r.doc_id: r.near_next for r in prints.fingerprints(docs(*texts)).collect()}
+    ratios = []
+    for i in range(1, len(texts), 2):
+        x, y = Counter(texts[i].split()), Counter(texts[i - 1].split())
+        like = sum((x & y).values()) / sum((x | y).values())
+        ratios.append((got[i] - like) ** 2 / (like * (1 - like)))
+    assert np.mean(ratios) < 1.5 / 64
+
+
 def test_blocks_round_trip_and_tell_damage():
     rng = np.random.default_rng(1)
     blocks = [rng.integers(0, 65536, k).astype(np.uint16) for k in (0, 1, 2, 5, 300, 2048)] + [
