@@ -36,8 +36,15 @@ def sides(base: DataFrame, head: DataFrame, keys: list[str]) -> DataFrame:
         F.max("in_base").alias("in_base"), F.max("in_head").alias("in_head"))
 
 
-def match_agents(base: DataFrame, head: DataFrame) -> DataFrame:
-    """(id, status): common, added or removed."""
+def with_head_ids(base: DataFrame, renamed: DataFrame, key: str = "id") -> DataFrame:
+    """Base rows of renamed agents under their head id; ``renamed`` has base_id and head_id."""
+    ids = renamed.select(F.col("base_id").alias(key), F.col("head_id").alias("_head"))
+    return base.join(ids, key, "left").withColumn(key, F.coalesce("_head", key)).drop("_head")
+
+
+def match_agents(base: DataFrame, head: DataFrame, renamed: DataFrame | None = None) -> DataFrame:
+    """(id, status): common, added or removed; a renamed agent is common under its head id."""
+    base = base if renamed is None else with_head_ids(base.select("id"), renamed)
     return sides(base, head, ["id"]).select("id", F.when(F.col("in_base") + F.col("in_head") == 2, "common")
                                             .when(F.col("in_head") == 1, "added").otherwise("removed").alias("status"))
 

@@ -469,12 +469,16 @@ def snapshot_diff_approved(spark, d):
 @query
 def snapshot_diff_summary(spark, d):
     base, head, m, items = _changes(spark, d)
-    added = snapshot.added_agents(_head_agents(head), m).withColumn("approved", F.lit(False))
+    new = snapshot.added_agents(_head_agents(head), m).withColumns({"kind": F.lit("new-agent"), "value": F.col("name")})
+    prints = new.select("agent_id", F.substring(F.sha2("agent_id", 256), 1, 12).alias("fingerprint"))
+    added = snapshot.with_approval(new, _approvals(spark, d), prints, AS_OF)
     f_base, f_head = _finding_snapshots(spark, d)
     common = m.where(F.col("status") == "common")
     fc = snapshot.finding_changes(f_base, f_head, common)
-    none = items.limit(0)
-    changed = snapshot.changed_agents(items, fc, none.select("agent_id"), none.select("agent_id", F.lit("").alias("drift")))
+    agents = derived.registry_agents(spark, d)
+    dims = snapshot.dimension_changes(dimensions.assess(agents, f_base), dimensions.assess(agents, f_head), common)
+    none = items.limit(0)  # agents of order lines have no confidence
+    changed = snapshot.changed_agents(items, fc, dims, none.select("agent_id", F.lit("").alias("drift")))
     return snapshot.summarize(m, _approved(spark, d, items), added, changed, items, fc)
 
 
