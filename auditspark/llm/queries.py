@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm import (bpe_segment_tree, edit_token_counts, feistel_sharding, hyperminhash, id_range_coder, licence_index, ordinal_quality,
+from auditspark.llm import (bpe_segment_tree, conversation_repair, edit_token_counts, feistel_sharding, hyperminhash, id_range_coder, licence_index, ordinal_quality,
                             pivot_topk, source_mix, weighted_fingerprints)
 from auditspark.llm.common import table, text_or_empty
 
@@ -52,4 +52,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-Q = {f.__name__: f for f in (op1_ordinal_quality, op2_weighted_fingerprints, op3_edit_token_counts, op4_feistel_sharding, op5_licence_index, op6_hyperminhash, op7_bpe_segment_tree, op8_id_range_coder, op9_pivot_topk, op10_source_mix)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+Q = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
