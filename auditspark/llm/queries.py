@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark.llm import (bpe_segment_tree, conversation_repair, edit_token_counts, feistel_sharding, hyperminhash, id_range_coder, licence_index, ordinal_quality,
-                            pivot_topk, source_mix, weighted_fingerprints)
+                            perplexity_rules, pivot_topk, source_mix, weighted_fingerprints)
 from auditspark.llm.common import table, text_or_empty
 
 
@@ -56,4 +56,8 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audited(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity_rules.judged(table(spark, sf_dir, "documents"))
+
+
 Q = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
