@@ -27,12 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.llm import text_arrays as ta
-from auditspark.llm.common import text_or_empty
-from auditspark.session import cut_lineage, ship_package
+from auditspark.llm.common import stored, text_or_empty
+from auditspark.session import ship_package
 
 ORDER = 5
 FOLDS = 2
@@ -78,8 +78,8 @@ def base_counts(t: ta.Texts) -> dict[str, np.ndarray]:
             "n_dup_lines": np.bincount(line_doc[later], minlength=t.n), "n_repeat_words": np.bincount(t.word_doc[again], minlength=t.n)}
 
 
-def collapsed(t: ta.Texts) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(text of each character, its place in the text, characters 0 to 4 places before it) of texts with single spaces."""
+def collapsed(t: ta.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in it, code point) of each character of the texts with single spaces."""
     kept = t.solid.copy()
     new_text = np.ones(len(t.word_starts), bool)
     new_text[1:] = t.word_doc[1:] != t.word_doc[:-1]
@@ -88,49 +88,64 @@ def collapsed(t: ta.Texts) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     doc = t.doc[kept]
     sizes = np.bincount(doc, minlength=t.n)
     place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    lags = [codes]
+    return doc, place, codes
+
+
+def lagged(values: np.ndarray, place: np.ndarray, begin) -> list[np.ndarray]:
+    """The values 0 to 4 places before each place; *begin* stands before a text."""
+    lags, near = [values], np.flatnonzero(place < ORDER - 1)
     for j in range(1, ORDER):
-        lag = np.full(len(codes), _BEGIN)
-        lag[j:] = codes[:-j]
-        lag[place < j] = _BEGIN
+        lag = np.empty_like(values)
+        lag[j:] = values[:-j]
+        lag[near[place[near] < j]] = begin
         lags.append(lag)
-    return doc, place, lags
+    return lags
+
+
+def alphabet(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the code points that occur, and the line break, in order; the place of each code point among them)."""
+    there = np.zeros(max(int(codes.max(initial=0)), int(_BEGIN)) + 1, bool)
+    there[codes] = there[_BEGIN] = True
+    return np.flatnonzero(there).astype(np.uint32), np.cumsum(there) - 1
 
 
 def gram_hash(lags: list[np.ndarray]) -> np.ndarray:
-    """Hash of the sequence whose last character is lags[0]."""
+    """Hash of the sequence whose last character's code mix is in lags[0]."""
     total = np.full(len(lags[0]) if lags else 1, len(lags), np.uint64)
     for code, factor in zip(lags, _LAG):
-        total += ta.mixed(code.astype(np.uint64) + np.uint64(1)) * factor
+        total += code * factor
     return ta.mixed(total)
 
 
-def counted_grams(lags: list[np.ndarray], owner: np.ndarray | None = None) -> Iterator[tuple]:
+def code_mix(codes: np.ndarray) -> np.ndarray:
+    return ta.mixed(codes.astype(np.uint64) + np.uint64(1))
+
+
+def counted_grams(place: np.ndarray, codes: np.ndarray, owner: np.ndarray | None = None) -> Iterator[tuple]:
     """(sequences, how often, whose) of the distinct sequences: exact, by packing characters into bits as far as the alphabet allows."""
-    n = len(lags[0])
+    n = len(codes)
     if not n:
         return
-    letters = np.unique(np.concatenate([lags[0], [_BEGIN]]))
+    letters, rank = alphabet(codes)
     bits = max(1, int(len(letters) - 1).bit_length())
-    owner = np.zeros(n, np.int64) if owner is None else owner
-    if bits * ORDER + int(owner.max()).bit_length() > 63:
-        if n > 1 and int(owner[-1]) > int(owner[0]):  # fewer texts at a time
-            cut = int(np.searchsorted(owner, (int(owner[0]) + int(owner[-1]) + 1) // 2))
-            yield from counted_grams([x[:cut] for x in lags], owner[:cut])
-            yield from counted_grams([x[cut:] for x in lags], owner[cut:])
+    low, high = (0, 0) if owner is None else (int(owner[0]), int(owner[-1]))
+    if bits * ORDER + (high - low).bit_length() > 63:
+        if high > low:  # fewer texts at a time
+            cut = int(np.searchsorted(owner, (low + high + 1) // 2))
+            yield from counted_grams(place[:cut], codes[:cut], owner[:cut])
+            yield from counted_grams(place[cut:], codes[cut:], owner[cut:])
             return
-        table, counts = np.unique(np.column_stack([*reversed(lags)]), axis=0, return_counts=True)
-        yield table, counts, np.repeat(owner[0], len(table))
+        table, counts = np.unique(np.column_stack([*reversed(lagged(codes, place, _BEGIN))]), axis=0, return_counts=True)
+        yield table, counts, np.full(len(table), low)
         return
-    key = owner.astype(np.uint64)
-    for lag in reversed(lags):
-        key = (key << np.uint64(bits)) | np.searchsorted(letters, lag).astype(np.uint64)
+    key = np.zeros(n, np.int64) if owner is None else owner.astype(np.int64) - low
+    for lag in reversed(lagged(rank[codes], place, rank[_BEGIN])):
+        key = (key << bits) | lag
     key.sort()
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     key, counts = key[first], np.diff(first, append=n)
-    mask = np.uint64((1 << bits) - 1)
-    table = np.column_stack([letters[(key >> np.uint64(bits * j)) & mask] for j in range(ORDER - 1, -1, -1)])
-    yield table, counts, (key >> np.uint64(bits * ORDER)).astype(np.int64)
+    table = np.column_stack([letters[(key >> bits * j) & ((1 << bits) - 1)] for j in range(ORDER - 1, -1, -1)])
+    yield table, counts, (key >> bits * ORDER) + low
 
 
 def _strings(table: np.ndarray) -> list[str]:
@@ -162,8 +177,8 @@ def grams(docs: DataFrame) -> DataFrame:
             for (lang, fold), mine in _groups(batch).items():
                 own = [texts[i] for i in mine]
                 found = []
-                for a, b in ta.parts(own, 20 * ta.PART):
-                    found += [x[:2] for x in counted_grams(collapsed(ta.Texts(own[a:b]))[2])]
+                for a, b in ta.parts(own, 5 * ta.PART):
+                    found += [x[:2] for x in counted_grams(*collapsed(ta.Texts(own[a:b]))[1:])]
                 for table, counts in found:
                     k = len(table)
                     yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), k), pa.array(np.full(k, fold, np.int32)), pa.array(_strings(table)), pa.array(counts)],
@@ -186,23 +201,24 @@ def model(counts: DataFrame) -> DataFrame:
     *counts* has lang, fold, gram, n. The empty sequence's value is that of an unknown character.
     """
     key = ["lang", "fold"]
-    level = {ORDER: cut_lineage(counts.select(*key, "gram", F.col("n").alias("a")))}
+    level = {ORDER: stored(counts.select(*key, "gram", F.col("n").alias("a")))}
     for k in range(ORDER - 1, 0, -1):  # distinct sequences that end so
-        level[k] = cut_lineage(level[k + 1].groupBy(*key, F.right("gram", F.lit(k)).alias("gram")).agg(F.count(F.lit(1)).alias("a")))
+        level[k] = stored(level[k + 1].groupBy(*key, F.right("gram", F.lit(k)).alias("gram")).agg(F.count(F.lit(1)).alias("a")))
     logged = lambda p: F.round(-F.log(p) * UNIT).cast("int")
     lower = level[1].groupBy(*key).agg((1 / (F.count(F.lit(1)) + 1)).alias("p")).withColumn("gram", F.lit(""))
     entries = [lower.select(*key, F.lit("g").alias("kind"), "gram", logged(F.col("p")).alias("value"))]
     for k in range(1, ORDER + 1):
-        rows = level[k].withColumn("context", F.substring("gram", 1, k - 1))
+        rows = level[k].withColumn("context", F.substring("gram", 1, k - 1)).withColumn("below", F.substring("gram", 2, k - 1))
         discounts = rows.groupBy(*key).agg(*(F.count(F.when(F.col("a") == i, 1)).alias(f"n{i}") for i in range(1, 5))).select(*key, *(_discount(i).alias(f"d{i}") for i in range(1, 4)))
-        stats = rows.groupBy(*key, "context").agg(F.sum("a").alias("s"), *(F.count(F.when(F.col("a") == i if i < 3 else F.col("a") >= 3, 1)).alias(f"m{i}") for i in range(1, 4)))
-        weight = (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("s")
-        stats = stats.join(discounts, key).withColumn("weight", weight)
+        one = Window.partitionBy(*key, "context")  # as many rows as the alphabet has letters, at most
         off = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
-        joined = rows.join(stats, [*key, "context"]).withColumn("below", F.substring("gram", 2, k - 1)).join(lower.select(*key, F.col("gram").alias("below"), F.col("p").alias("q")), [*key, "below"])
-        lower = cut_lineage(joined.select(*key, "gram", ((F.col("a") - off) / F.col("s") + F.col("weight") * F.col("q")).alias("p")))
+        seen = [F.count(F.when(F.col("a") == i if i < 3 else F.col("a") >= 3, 1)).over(one) * F.col(f"d{i}") for i in range(1, 4)]
+        shares = rows.join(discounts, key).withColumn("s", F.sum("a").over(one)).select(
+            *key, "context", "below", "gram", ((F.col("a") - off) / F.col("s")).alias("own"), ((seen[0] + seen[1] + seen[2]) / F.col("s")).alias("weight"))
+        lower = stored(shares.join(lower.select(*key, F.col("gram").alias("below"), F.col("p").alias("q")), [*key, "below"]).select(
+            *key, "context", "gram", "weight", (F.col("own") + F.col("weight") * F.col("q")).alias("p")))
         entries.append(lower.select(*key, F.lit("g").alias("kind"), "gram", logged(F.col("p")).alias("value")))
-        entries.append(stats.select(*key, F.lit("c").alias("kind"), F.col("context").alias("gram"), logged(F.greatest(F.col("weight"), F.lit(1e-9))).alias("value")))
+        entries.append(lower.groupBy(*key, F.lit("c").alias("kind"), F.col("context").alias("gram")).agg(logged(F.greatest(F.first("weight"), F.lit(1e-9))).alias("value")))
     out = entries[0]
     for more in entries[1:]:
         out = out.unionAll(more)
@@ -220,7 +236,7 @@ def packed(entries: DataFrame, n: int) -> DataFrame:
             at = np.flatnonzero(sizes == k)
             codes = np.frombuffer("".join(pdf["gram"].iloc[at]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(at), k)
             if len(at):
-                hashes[at] = gram_hash([codes[:, k - 1 - j] for j in range(k)])
+                hashes[at] = gram_hash([code_mix(codes[:, k - 1 - j]) for j in range(k)])
         order = np.argsort(hashes)
         head = {c: [pdf[c].iloc[0]] for c in ("lang", "fold", "kind")}
         return pd.DataFrame(head | {"hashes": [hashes[order].tobytes()], "values": [pdf["value"].to_numpy(np.int32)[order].tobytes()]})
@@ -230,7 +246,7 @@ def packed(entries: DataFrame, n: int) -> DataFrame:
 
 
 class Lookup:
-    """Sorted hash arrays of one language and fold."""
+    """Sorted hash arrays of one language and fold, with an index of the leading bits."""
 
     def __init__(self, shards: dict[str, list[tuple[bytes, bytes]]]):
         self.arrays = {}
@@ -238,20 +254,29 @@ class Lookup:
             own = shards.get(kind, [])
             hashes, values = (np.concatenate([np.empty(0, t), *(np.frombuffer(s[i], t) for s in own)]) for i, t in enumerate((np.uint64, np.int32)))
             order = np.argsort(hashes)
-            self.arrays[kind] = hashes[order], values[order].astype(np.int64)
+            known, bits = hashes[order], max(4, len(hashes).bit_length() + 1)
+            shift = np.uint64(64 - bits)
+            starts = np.searchsorted(known >> shift, np.arange(1 << bits, dtype=np.uint64))
+            self.arrays[kind] = np.append(known, np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(values[order], 0).astype(np.int64), shift, starts
 
     def find(self, kind: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(value or 0, is there one) of each hash."""
-        known, values = self.arrays[kind]
-        if not len(known):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        there = known[at] == hashes
+        known, values, shift, starts = self.arrays[kind]
+        at = starts[hashes >> shift]
+        met = known[at]
+        open_ = np.flatnonzero(met < hashes)
+        while len(open_):  # a step or two: hashes are spread evenly
+            at[open_] += 1
+            met[open_] = known[at[open_]]
+            open_ = open_[met[open_] < hashes[open_]]
+        there = (met == hashes) & (at < len(known) - 1)
         return np.where(there, values[at], 0), there
 
-    def scores(self, lags: list[np.ndarray]) -> np.ndarray:
+    def scores(self, place: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Negative logarithm of each character's probability: the longest known sequence's, and the weights of the contexts left for it."""
-        total, open_ = np.zeros(len(lags[0]), np.int64), np.arange(len(lags[0]))
+        letters, rank = alphabet(codes)
+        lags = lagged(code_mix(letters)[rank[codes]], place, code_mix(np.array([_BEGIN]))[0])
+        total, open_ = np.zeros(len(codes), np.int64), np.arange(len(codes))
         for k in range(ORDER, -1, -1):
             value, there = self.find("g", gram_hash(lags[:k]) if k else np.repeat(gram_hash([]), len(open_)))
             total[open_] += value
@@ -292,8 +317,8 @@ def _scored_by_arrays(rows: DataFrame, arrays: DataFrame | None) -> DataFrame:
                     for c, values in base_counts(t).items():
                         out[c][at] = values
                     if key in known:
-                        doc, _, lags = collapsed(t)
-                        sums = np.concatenate([[0], np.cumsum(known[key].scores(lags))])
+                        doc, place, codes = collapsed(t)
+                        sums = np.concatenate([[0], np.cumsum(known[key].scores(place, codes))])
                         sizes = np.bincount(doc, minlength=t.n)
                         ends = np.cumsum(sizes)
                         out["score"][at], out["n_chars_scored"][at], judged[at] = sums[ends] - sums[ends - sizes], sizes, sizes > 0
@@ -310,26 +335,26 @@ def _scored_by_joins(rows: DataFrame, entries: DataFrame) -> DataFrame:
         for batch in batches:
             texts, keys, langs, folds = (batch.column(c).to_pylist() for c in ("text", "text_key", "lang", "fold"))
             for a, b in ta.parts(texts):
-                doc, _, lags = collapsed(ta.Texts(texts[a:b]))
-                for table, counts, owner in counted_grams(lags, doc.astype(np.int64)):
+                doc, place, codes = collapsed(ta.Texts(texts[a:b]))
+                for table, counts, owner in counted_grams(place, codes, doc):
                     own = (owner + a).tolist()
                     yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.string()), pa.array([langs[i] for i in own], pa.string()),
                                                       pa.array([(folds[i] + 1) % FOLDS for i in own], pa.int32()), pa.array(_strings(table)), pa.array(counts)], ["text_key", "lang", "fold", "gram", "n"])
 
     texts = rows.select("text_key", "lang", "fold", "text").dropDuplicates(["text_key", "lang"]).join(entries.select("lang", ((F.col("fold") + 1) % FOLDS).alias("fold")).distinct(), ["lang", "fold"])
-    left = cut_lineage(texts.mapInArrow(split, "text_key string, lang string, fold int, gram string, n long"))
+    left = stored(texts.mapInArrow(split, "text_key string, lang string, fold int, gram string, n long"))
     sizes = left.groupBy("text_key", "lang").agg(F.sum("n").alias("n_chars_scored"))
     side = {k: entries.where(F.col("kind") == k).select("lang", "fold", F.col("gram").alias("_gram"), "value") for k in "gc"}
     told = []
     for k in range(ORDER, -1, -1):
         met = left.join(side["g"].where(F.length("_gram") == k), [left.lang == side["g"].lang, left.fold == side["g"].fold, F.col("gram") == F.col("_gram")], "left").select(left["*"], "value")
-        met = cut_lineage(met)
+        met = stored(met)
         told.append(met.where(F.col("value").isNotNull()).select("text_key", "lang", (F.col("n") * F.col("value")).alias("part")))
         left = met.where(F.col("value").isNull()).drop("value")
         if k:
             context = left.withColumn("context", F.substring("gram", 1, k - 1))
             met = context.join(side["c"].where(F.length("_gram") == k - 1), [context.lang == side["c"].lang, context.fold == side["c"].fold, F.col("context") == F.col("_gram")], "left").select(context["*"], "value")
-            met = cut_lineage(met)
+            met = stored(met)
             told.append(met.where(F.col("value").isNotNull()).select("text_key", "lang", (F.col("n") * F.col("value")).alias("part")))
             left = met.groupBy("text_key", "lang", "fold", F.substring("gram", 2, k - 1).alias("gram")).agg(F.sum("n").alias("n"))
     all_ = told[0]
@@ -340,7 +365,7 @@ def _scored_by_joins(rows: DataFrame, entries: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
     """doc_id, lang, the counts, n_chars_scored and score of every row, both null if no model judges it."""
-    table = cut_lineage(model(grams(docs)))
+    table = stored(model(grams(docs)))
     n = table.count()
     rows = folded(docs).withColumn("text_key", F.sha2(F.col("text").cast("binary"), 256) if n > entries else F.lit(None).cast("string"))
     if n <= entries:
@@ -351,8 +376,6 @@ def scored(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
 
 def _median(buckets: DataFrame, name: str) -> DataFrame:
     """Lower median of the steps in *name* by language, from how often each step comes."""
-    from pyspark.sql import Window
-
     up = Window.partitionBy("lang").orderBy(name)
     whole = buckets.withColumn("to_here", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
     return whole.where(2 * F.col("to_here") >= F.col("all")).groupBy("lang").agg(F.min(name).alias("median"), F.max("all").alias("n_judged"))
@@ -360,7 +383,7 @@ def _median(buckets: DataFrame, name: str) -> DataFrame:
 
 def bands(judged: DataFrame) -> DataFrame:
     """lang, lower, upper: steps of log perplexity, from rows of lang and step; languages of LEAST rows or more."""
-    buckets = cut_lineage(judged.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")))  # a few thousand steps a language at most
+    buckets = stored(judged.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")))  # a few thousand steps a language at most
     middle = _median(buckets, "step").where(F.col("n_judged") >= LEAST)
     off = buckets.join(middle.select("lang", "median"), "lang").groupBy("lang", F.abs(F.col("step") - F.col("median")).alias("off")).agg(F.sum("n").alias("n"))
     spread = _median(off, "off").select("lang", F.greatest("median", F.lit(LEAST_SPREAD)).alias("spread"))
@@ -371,7 +394,7 @@ def judged(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
     """doc_id, the counts, base_failed, kept, log_perplexity (of a character, in nats) and the band it was held against."""
     repeated = 100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")
     step = F.when(F.col("n_chars_scored") > 0, F.floor(F.col("score") * STEP / (F.col("n_chars_scored") * UNIT)))
-    rows = cut_lineage(scored(docs, entries).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | repeated).withColumn("step", step))
+    rows = stored(scored(docs, entries).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | repeated).withColumn("step", step))
     limits = bands(rows.where(~F.col("base_failed") & F.col("step").isNotNull()).select("lang", "step"))
     room = F.lit(SHORT * STEP) / F.sqrt("n_chars_scored")
     inside = F.col("step").between(F.col("lower") - room, F.col("upper") + room)

@@ -5,7 +5,6 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from llm_fixtures import AWKWARD
 
@@ -129,9 +128,9 @@ def test_verdicts(corpus, nothing):
 def test_sequences_of_any_alphabet():
     rnd = random.Random(9)
     texts = ["".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(3000)) for _ in range(3)] + ["ab", ""]
-    doc, _, lags = rules.collapsed(ta.Texts(texts))
+    doc, place, codes = rules.collapsed(ta.Texts(texts))
     got = Counter()
-    for table, counts, owner in rules.counted_grams(lags, doc.astype(np.int64)):
+    for table, counts, owner in rules.counted_grams(place, codes, doc):
         for g, n, o in zip(rules._strings(table), counts.tolist(), owner.tolist()):
             got[o, g] += n
     expected = Counter((i, f"{chr(10) * 4}{t}"[j:j + 5]) for i, t in enumerate(texts) for j in range(len(t)))
