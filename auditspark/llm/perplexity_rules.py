@@ -6,9 +6,10 @@ document's fold is a bit of the hash of its text, so copies share it), and deriv
 continuation counts, the three discounts, the context weights and the interpolated probabilities of all orders. A
 document is scored by the model of the other fold, which hasn't seen it.
 
-Probabilities and context weights are stored as 64-bit hashes in sorted arrays with fixed-point logarithms beside them, and
-looked up by binary search. Arrays of up to ENTRIES entries are given to every task; a larger model stays a table, and
-the documents' sequences are joined with it order by order. Logarithms are whole numbers, so both ways give equal sums.
+Probabilities and context weights are stored as 64-bit hashes in sorted arrays with fixed-point logarithms beside them. A
+task holds about ENTRIES entries: a larger model is dealt into slices by the three characters before the predicted one (the
+few sequences that are shorter go to all), and the documents are read once for each slice, which scores the places that
+are its own. Logarithms are whole numbers, so any number of slices gives the same sums.
 
 Documents that pass the base rules set the bands of their language: the median of their log perplexity, and the median
 distance from it as its spread. A document below median - LOW spreads or above median + HIGH spreads is rejected; a text of n characters
@@ -36,8 +37,10 @@ from auditspark.session import ship_package
 
 ORDER = 5
 FOLDS = 2
-#: Entries (12 bytes each) that every task is given at most.
-ENTRIES = 4_000_000
+#: Entries (12 bytes each) of a slice of the model, all of which is sent to every task.
+ENTRIES = 8_000_000
+#: Characters before a place that decide its slice, and a multiplier that spreads their numbers.
+NEAR, SPREAD = 3, 8191
 #: Entries of one sorted array.
 SHARD = 500_000
 #: Logarithms are counted in these parts of a nat.
@@ -213,18 +216,44 @@ def model(counts: DataFrame) -> DataFrame:
         one = Window.partitionBy(*key, "context")  # as many rows as the alphabet has letters, at most
         off = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
         seen = [F.count(F.when(F.col("a") == i if i < 3 else F.col("a") >= 3, 1)).over(one) * F.col(f"d{i}") for i in range(1, 4)]
+        first = F.row_number().over(one.orderBy("gram")) == 1
         shares = rows.join(discounts, key).withColumn("s", F.sum("a").over(one)).select(
-            *key, "context", "below", "gram", ((F.col("a") - off) / F.col("s")).alias("own"), ((seen[0] + seen[1] + seen[2]) / F.col("s")).alias("weight"))
+            *key, F.left("gram", F.lit(1)).alias("head"), "below", ((F.col("a") - off) / F.col("s")).alias("own"), ((seen[0] + seen[1] + seen[2]) / F.col("s")).alias("weight"), first.alias("first"))
         lower = stored(shares.join(lower.select(*key, F.col("gram").alias("below"), F.col("p").alias("q")), [*key, "below"]).select(
-            *key, "context", "gram", "weight", (F.col("own") + F.col("weight") * F.col("q")).alias("p")))
+            *key, F.concat("head", "below").alias("gram"), "weight", "first", (F.col("own") + F.col("weight") * F.col("q")).alias("p")))
         entries.append(lower.select(*key, F.lit("g").alias("kind"), "gram", logged(F.col("p")).alias("value")))
-        entries.append(lower.groupBy(*key, F.lit("c").alias("kind"), F.col("context").alias("gram")).agg(logged(F.greatest(F.first("weight"), F.lit(1e-9))).alias("value")))
+        entries.append(lower.where("first").select(*key, F.lit("c").alias("kind"), F.substring("gram", 1, k - 1).alias("gram"),
+                                                   logged(F.greatest(F.col("weight"), F.lit(1e-9))).alias("value")))
     out = entries[0]
     for more in entries[1:]:
         out = out.unionAll(more)
     return out
 
 
+def slice_of(entries: DataFrame, number: int, slices: int) -> DataFrame:
+    """The entries that the places of one slice need: those whose three characters before the last one (a context's last ones) fall in it, and shorter ones."""
+    long_ = F.length("gram") + F.when(F.col("kind") == "c", 1).otherwise(0) > NEAR
+    near = F.when(F.col("kind") == "c", F.right("gram", F.lit(NEAR))).otherwise(F.substring(F.right("gram", F.lit(NEAR + 1)), 1, NEAR))
+    at = F.pmod(_places(near), F.lit(slices))
+    return entries.where(~long_ | (at == number))
+
+
+def _places(near: Column) -> Column:
+    """A number of the three characters, as slice_numbers() gives it."""
+    total = F.lit(0).cast("long")
+    for j in range(NEAR):
+        total = total * SPREAD + F.ascii(F.substring(near, j + 1, 1))
+    return F.shiftright(total * SPREAD, 7) % (1 << 20)
+
+
+def slice_numbers(lags: list[np.ndarray], slices: int) -> np.ndarray:
+    """The slice of each place, by the characters 3, 2 and 1 before it."""
+    total = np.zeros(len(lags[0]), np.int64)
+    for lag in (lags[j] for j in range(NEAR, 0, -1)):
+        total = total * SPREAD + lag
+    return (total * SPREAD >> 7) % (1 << 20) % slices
+
+
 def packed(entries: DataFrame, n: int) -> DataFrame:
     """lang, fold, kind, hashes (sorted, 64-bit), values (32-bit): arrays of about SHARD entries of *n* at most."""
     ship_package(entries.sparkSession)
@@ -272,11 +301,14 @@ class Lookup:
         there = (met == hashes) & (at < len(known) - 1)
         return np.where(there, values[at], 0), there
 
-    def scores(self, place: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Negative logarithm of each character's probability: the longest known sequence's, and the weights of the contexts left for it."""
+    def scores(self, place: np.ndarray, codes: np.ndarray, number: int = 0, slices: int = 1) -> np.ndarray:
+        """Negative logarithm of each character's probability: the longest known sequence's, and the weights of the contexts left for it; 0 for places of other slices."""
         letters, rank = alphabet(codes)
         lags = lagged(code_mix(letters)[rank[codes]], place, code_mix(np.array([_BEGIN]))[0])
         total, open_ = np.zeros(len(codes), np.int64), np.arange(len(codes))
+        if slices > 1:
+            open_ = np.flatnonzero(slice_numbers(lagged(codes.astype(np.int64), place, int(_BEGIN)), slices) == number)
+            lags = [x[open_] for x in lags]
         for k in range(ORDER, -1, -1):
             value, there = self.find("g", gram_hash(lags[:k]) if k else np.repeat(gram_hash([]), len(open_)))
             total[open_] += value
@@ -293,20 +325,20 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _COUNTED = ", ".join(f"{c} long" for c in COUNTS) + ", n_chars_scored long, score long"
 
 
-def _scored_by_arrays(rows: DataFrame, arrays: DataFrame | None) -> DataFrame:
-    """Counts and scores of every row; without *arrays* scores are left null."""
+def _scored(rows: DataFrame, entries: DataFrame, n: int, number: int = 0, slices: int = 1) -> DataFrame:
+    """doc_id, lang, text_key, the counts, and the score by one slice of the model."""
     ship_package(rows.sparkSession)
     shards: dict[tuple, dict] = {}
-    for r in arrays.collect() if arrays is not None else []:  # ENTRIES entries at most
+    for r in packed(slice_of(entries, number, slices) if slices > 1 else entries, n).collect():  # about ENTRIES entries
         shards.setdefault((r.lang, r.fold), {}).setdefault(r.kind, []).append((bytes(r.hashes), bytes(r["values"])))
     model_ = rows.sparkSession.sparkContext.broadcast(shards)
 
     def scored(batches):
         known: dict[tuple, Lookup] = {}
         for batch in batches:
-            texts, n = batch.column("text").to_pylist(), batch.num_rows
-            out = {c: np.zeros(n, np.int64) for c in (*COUNTS, "n_chars_scored", "score")}
-            judged = np.zeros(n, bool)
+            texts = batch.column("text").to_pylist()
+            out = {c: np.zeros(batch.num_rows, np.int64) for c in (*COUNTS, "n_chars_scored", "score")}
+            judged = np.zeros(batch.num_rows, bool)
             for (lang, fold), mine in _groups(batch).items():
                 key = (lang, (fold + 1) % FOLDS)
                 if key not in known and key in model_.value:
@@ -314,64 +346,40 @@ def _scored_by_arrays(rows: DataFrame, arrays: DataFrame | None) -> DataFrame:
                 own = [texts[i] for i in mine]
                 for a, b in ta.parts(own):
                     at, t = np.array(mine[a:b]), ta.Texts(own[a:b])
-                    for c, values in base_counts(t).items():
-                        out[c][at] = values
+                    if not number:
+                        for c, values in base_counts(t).items():
+                            out[c][at] = values
                     if key in known:
                         doc, place, codes = collapsed(t)
-                        sums = np.concatenate([[0], np.cumsum(known[key].scores(place, codes))])
+                        sums = np.concatenate([[0], np.cumsum(known[key].scores(place, codes, number, slices))])
                         sizes = np.bincount(doc, minlength=t.n)
                         ends = np.cumsum(sizes)
                         out["score"][at], out["n_chars_scored"][at], judged[at] = sums[ends] - sums[ends - sizes], sizes, sizes > 0
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "fold", "text_key")), *(pa.array(out[c], mask=None if c in COUNTS else ~judged) for c in out)],
-                                             ["doc_id", "lang", "fold", "text_key", *out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "text_key")), *(pa.array(out[c], mask=None if c in COUNTS else ~judged) for c in out)],
+                                             ["doc_id", "lang", "text_key", *out])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(scored, f"doc_id {kind}, lang string, fold int, text_key string, {_COUNTED}")
-
-
-def _scored_by_joins(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Scores of every distinct text by joining its sequences with the model, order by order: text_key, lang, score, n_chars_scored."""
-    def split(batches):
-        for batch in batches:
-            texts, keys, langs, folds = (batch.column(c).to_pylist() for c in ("text", "text_key", "lang", "fold"))
-            for a, b in ta.parts(texts):
-                doc, place, codes = collapsed(ta.Texts(texts[a:b]))
-                for table, counts, owner in counted_grams(place, codes, doc):
-                    own = (owner + a).tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.string()), pa.array([langs[i] for i in own], pa.string()),
-                                                      pa.array([(folds[i] + 1) % FOLDS for i in own], pa.int32()), pa.array(_strings(table)), pa.array(counts)], ["text_key", "lang", "fold", "gram", "n"])
-
-    texts = rows.select("text_key", "lang", "fold", "text").dropDuplicates(["text_key", "lang"]).join(entries.select("lang", ((F.col("fold") + 1) % FOLDS).alias("fold")).distinct(), ["lang", "fold"])
-    left = stored(texts.mapInArrow(split, "text_key string, lang string, fold int, gram string, n long"))
-    sizes = left.groupBy("text_key", "lang").agg(F.sum("n").alias("n_chars_scored"))
-    side = {k: entries.where(F.col("kind") == k).select("lang", "fold", F.col("gram").alias("_gram"), "value") for k in "gc"}
-    told = []
-    for k in range(ORDER, -1, -1):
-        met = left.join(side["g"].where(F.length("_gram") == k), [left.lang == side["g"].lang, left.fold == side["g"].fold, F.col("gram") == F.col("_gram")], "left").select(left["*"], "value")
-        met = stored(met)
-        told.append(met.where(F.col("value").isNotNull()).select("text_key", "lang", (F.col("n") * F.col("value")).alias("part")))
-        left = met.where(F.col("value").isNull()).drop("value")
-        if k:
-            context = left.withColumn("context", F.substring("gram", 1, k - 1))
-            met = context.join(side["c"].where(F.length("_gram") == k - 1), [context.lang == side["c"].lang, context.fold == side["c"].fold, F.col("context") == F.col("_gram")], "left").select(context["*"], "value")
-            met = stored(met)
-            told.append(met.where(F.col("value").isNotNull()).select("text_key", "lang", (F.col("n") * F.col("value")).alias("part")))
-            left = met.groupBy("text_key", "lang", "fold", F.substring("gram", 2, k - 1).alias("gram")).agg(F.sum("n").alias("n"))
-    all_ = told[0]
-    for more in told[1:]:
-        all_ = all_.unionAll(more)
-    return all_.groupBy("text_key", "lang").agg(F.sum("part").alias("score")).join(sizes, ["text_key", "lang"])
+    return rows.mapInArrow(scored, f"doc_id {kind}, lang string, text_key string, {_COUNTED}")
 
 
 def scored(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
     """doc_id, lang, the counts, n_chars_scored and score of every row, both null if no model judges it."""
     table = stored(model(grams(docs)))
     n = table.count()
-    rows = folded(docs).withColumn("text_key", F.sha2(F.col("text").cast("binary"), 256) if n > entries else F.lit(None).cast("string"))
-    if n <= entries:
-        return _scored_by_arrays(rows, packed(table, n)).drop("fold", "text_key")
-    counts = _scored_by_arrays(rows, None).drop("score", "n_chars_scored", "fold")
-    return counts.join(_scored_by_joins(rows, table), ["text_key", "lang"], "left").drop("text_key")
+    slices = n // entries + 1
+    rows = folded(docs).withColumn("text_key", F.sha2(F.col("text").cast("binary"), 256) if slices > 1 else F.lit(None).cast("string"))
+    first = _scored(rows, table, n, 0, slices)
+    if slices == 1:
+        return first.drop("text_key")
+    first = stored(first)
+    parts = [first.select("text_key", "lang", "score").distinct()]  # rows of one text and language have equal parts
+    for number in range(1, slices):
+        parts.append(stored(_scored(rows, table, n, number, slices).select("text_key", "lang", "score").distinct()))
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionAll(more)
+    sums = whole.groupBy("text_key", "lang").agg(F.sum("score").alias("score"))
+    return first.drop("score").join(sums, ["text_key", "lang"], "left").drop("text_key")
 
 
 def _median(buckets: DataFrame, name: str) -> DataFrame:
