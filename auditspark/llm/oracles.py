@@ -75,3 +75,30 @@ SELECT doc_id, size, source, source_size, target,
        CAST(epochs * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - epochs * source_size - start)) AS BIGINT) AS taken, key
 FROM summed
 """
+
+SQL["op13_bloom_ranking"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms FROM documents
+), lengths AS (
+  SELECT rid, doc_id, CAST(len(terms) AS BIGINT) AS n FROM docs WHERE len(terms) > 0
+), corpus AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths
+), items AS (
+  SELECT row_number() OVER () AS iid, item_id,
+         list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS terms
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), asked AS (
+  SELECT iid, item_id, unnest(terms) AS term FROM items
+), occurring AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * (SELECT n_docs FROM corpus) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM occurring GROUP BY term
+), scored AS (
+  SELECT iid, item_id, l.rid, l.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN occurring USING (term) JOIN weighed USING (term) JOIN lengths l USING (rid), corpus GROUP BY ALL
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""

@@ -48,6 +48,8 @@ UNIT = 1 << 16
 #: Steps of log perplexity in which medians are taken.
 STEP = 1000
 LOW, HIGH, LEAST = 8, 8, 30
+#: Bands are sent to every task up to this many languages, and joined beyond.
+LANGUAGES = 10_000
 #: Nats of room that a text of one character has besides.
 SHORT = 1.0
 #: A band's spread is this many steps at least, a hundredth of a nat.
@@ -403,7 +405,8 @@ def judged(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
     repeated = 100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")
     step = F.when(F.col("n_chars_scored") > 0, F.floor(F.col("score") * STEP / (F.col("n_chars_scored") * UNIT)))
     rows = stored(scored(docs, entries).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | repeated).withColumn("step", step))
-    limits = bands(rows.where(~F.col("base_failed") & F.col("step").isNotNull()).select("lang", "step"))
+    limits = stored(bands(rows.where(~F.col("base_failed") & F.col("step").isNotNull()).select("lang", "step")))
+    limits = F.broadcast(limits) if limits.count() <= LANGUAGES else limits  # a language may hold most rows
     room = F.lit(SHORT * STEP) / F.sqrt("n_chars_scored")
     inside = F.col("step").between(F.col("lower") - room, F.col("upper") + room)
     return rows.join(limits, "lang", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm import (bpe_segment_tree, conversation_repair, edit_token_counts, feistel_sharding, hyperminhash, id_range_coder, licence_index, ordinal_quality,
+from auditspark.llm import (bloom_ranking, bpe_segment_tree, conversation_repair, edit_token_counts, feistel_sharding, hyperminhash, id_range_coder, licence_index, ordinal_quality,
                             perplexity_rules, pivot_topk, source_mix, weighted_fingerprints)
 from auditspark.llm.common import table, text_or_empty
 
@@ -60,4 +60,8 @@ def op12_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op13_bloom_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 Q = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
