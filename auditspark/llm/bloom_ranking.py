@@ -1,12 +1,12 @@
 """Ranked lexical search by bit-sliced Bloom signatures, exact.
 
-Index: the documents of an Arrow batch are grouped by how many distinct terms they have. A group is a bit matrix with a
+Index: the documents of an Arrow batch are grouped by how many entries they make in a filter. A group is a bit matrix with a
 row (slice) for each place of a Bloom filter and a column for each document: a term that occurs t times sets its
 HASHES slices once for every threshold of LEVELS up to t. The index also holds each document's length, largest count
 and key (doc_id and hash of the text), and how many documents of the batch hold each term.
 
 Search: the AND of a term's slices tells in which documents it may occur, and how often at most; it errs on one side
-only. Weighted sums of the slices bound every document's score from above. The K documents of highest bound are scored
+only. Weighted sums of the slices bound every document's score from above. The TRIED * K documents of highest bound are scored
 exactly, which gives a score that K documents reach; then all documents whose bound reaches it are scored exactly, and the
 K best remain. Nothing else is left out.
 
@@ -36,9 +36,10 @@ from auditspark.session import ship_package
 #: Fixed by the contract: terms are runs of letters and digits, and of anything beyond ASCII; only A-Z is lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 K = 50
+TRIED = 4
 #: A term sets slices for each of these counts that it reaches.
 LEVELS = np.array([1, 2, 3, 4, 6, 10, 20, 50])
-#: Places for each distinct term that a group's documents may have (half of them at least are used), and slices that a term sets.
+#: Places for each entry that a group's documents may make (half of them at least are made), and slices that an entry sets.
 PLACES, HASHES = 16, 6
 #: Items in a block of queries.
 ITEMS = 64
@@ -101,7 +102,7 @@ def index(docs: DataFrame, n_slots: int) -> DataFrame:
                 continue
             terms, doc, times = (np.concatenate(x) for x in zip(*found))
             n = batch.num_rows
-            distinct, length = np.bincount(doc, minlength=n), np.bincount(doc, times, n).astype(np.int32)
+            set_, length = np.bincount(doc, np.searchsorted(LEVELS, times, "right"), n), np.bincount(doc, times, n).astype(np.int32)
             most = np.zeros(n, np.int32)
             np.maximum.at(most, doc, times.astype(np.int32))
             order = np.argsort(doc, kind="stable")
@@ -110,7 +111,7 @@ def index(docs: DataFrame, n_slots: int) -> DataFrame:
             uniq, counts = np.unique(terms, return_counts=True)
             slot = int(uniq[0] % np.uint64(n_slots))
             yield _row(names, kind_, kind="t", slices=uniq.tobytes(), lengths=counts.astype(np.int32).tobytes(), slot=slot)
-            size = np.where(distinct > 0, np.ceil(np.log2(np.maximum(distinct, 1))).astype(int), -1)
+            size = np.where(set_ > 0, np.ceil(np.log2(np.maximum(set_, 1))).astype(int), -1)
             for c in np.unique(size[size >= 0]):
                 places, mine = max(64, PLACES << int(c)), np.flatnonzero(size == c)
                 width = max(8, (64 << 20) // places)  # 64 MB of cells at most, unless one document has more
@@ -315,7 +316,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     weighted = stored(terms.join(known, "hash").withColumn("weight", weight(n_docs)).groupBy("item", "item_id").agg(F.sort_array(F.collect_list(F.struct("at", "terms", "hash", "weight"))).alias("x"))
                       .select("item", "item_id", F.col("x.terms").alias("terms"), F.col("x.hash").alias("hashes"), F.col("x.weight").alias("weights")))
     blocks = _blocks(weighted, n_items, "hashes", "weights")
-    likely = _best(candidates(groups, blocks, n_slots, n_docs, n_terms, best=True), [F.desc("bound"), F.asc("doc_id"), F.asc("key")], k)
+    likely = _best(candidates(groups, blocks, n_slots, n_docs, n_terms, best=True), [F.desc("bound"), F.asc("doc_id"), F.asc("key")], TRIED * k)
     tried = rescored(docs, likely, weighted, n_docs, n_terms)
     reached = _best(tried, [F.desc("score")], k).groupBy("item").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
     least = weighted.join(reached.where(F.col("n") >= k), "item", "left").withColumn("least", F.coalesce("low", F.lit(0)))
