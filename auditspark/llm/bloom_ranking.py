@@ -41,6 +41,8 @@ TRIED = 4
 LEVELS = np.array([1, 2, 3, 4, 6, 10, 20, 50])
 #: Places for each entry that a group's documents may make (half of them at least are made), and slices that an entry sets.
 PLACES, HASHES = 16, 6
+#: Entries that are set at a time.
+ENTRIES = 100_000
 #: Items in a block of queries.
 ITEMS = 64
 #: Items and documents whose bounds are summed at a time.
@@ -114,7 +116,7 @@ def index(docs: DataFrame, n_slots: int) -> DataFrame:
             size = np.where(set_ > 0, np.ceil(np.log2(np.maximum(set_, 1))).astype(int), -1)
             for c in np.unique(size[size >= 0]):
                 places, mine = max(64, PLACES << int(c)), np.flatnonzero(size == c)
-                width = max(8, (64 << 20) // places)  # 64 MB of cells at most, unless one document has more
+                width = max(8, (16 << 20) // places)  # 16 MB of cells at most, unless eight documents have more
                 for k in range(0, len(mine), width):
                     part = mine[k:k + width]
                     new = np.full(n, -1)
@@ -123,8 +125,9 @@ def index(docs: DataFrame, n_slots: int) -> DataFrame:
                     cells = np.zeros((places, -(-len(part) // 8) * 8), bool)
                     for level, least in enumerate(LEVELS):
                         inside = inside[times[inside] >= least]
-                        for s in slots(terms[inside], level, places).T:
-                            cells[s, new[doc[inside]]] = True
+                        for i in range(0, len(inside), ENTRIES):
+                            some = inside[i:i + ENTRIES]
+                            cells[slots(terms[some], level, places), new[doc[some]][:, None]] = True
                     slot = (slot + 1) % n_slots
                     yield _row(names, kind_, kind="d", places=places, n_docs=len(part), n_terms=int(length[part].sum(dtype=np.int64)), lengths=length[part].tobytes(), most=most[part].tobytes(),
                                slices=np.packbits(cells, axis=1, bitorder="little").tobytes(), keys=keys[part].tobytes(), ids=ids.take(pa.array(part)), slot=slot)
