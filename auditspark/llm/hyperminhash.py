@@ -40,8 +40,6 @@ SLACK = 0.15
 DENSE = 100_000_000
 #: Chance that two unrelated registers are equal: the same zero count (about one half) and the same mantissa.
 ACCIDENT = 0.5 / 2**MANTISSA
-#: Ids from here on stand in for missing ones.
-STAND_IN = 1 << 62
 #: Words whose hashes a task remembers.
 CACHE = 500_000
 
@@ -107,20 +105,24 @@ def similar(inter, n_a, n_b, percent: int):
 
 
 def row_id() -> Column:
-    """doc_id, or a number from 2^62 on made of the text where there is none."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).bitwiseAND(F.lit(STAND_IN - 1)) + F.lit(STAND_IN))
+    """doc_id, or a hash of the text where there is none; `given` tells the two apart."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("without an id"), text_or_empty()))
+
+
+def has_id() -> Column:
+    return F.col("doc_id").isNotNull()
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    """id, n_shingles, digest and registers of every row."""
+    """id, given, n_shingles, digest and registers of every row."""
     def rows(batch: pa.RecordBatch, shingle: Shingler) -> pa.RecordBatch:
         sets = [shingle(t) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_pydict({
-            "id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+            "id": batch.column(0), "given": batch.column(2), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
             "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
             "registers": pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())})
 
-    return map_batches(docs.select(row_id().alias("id"), "text"), rows, "id long, n_shingles long, digest binary, registers binary",
+    return map_batches(docs.select(row_id().alias("id"), "text", has_id().alias("given")), rows, "id long, given boolean, n_shingles long, digest binary, registers binary",
                        lambda: Shingler(words))
 
 
@@ -251,38 +253,50 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, component of every row of *docs*; id is doc_id or its stand-in, component the smallest id reachable."""
+    """id, given, n_shingles, component, component_given of every row of *docs*.
+
+    id is doc_id if `given`, else made of the text; component is the smallest given id reachable, or the smallest of the others if none is given.
+    """
     rows = cut_lineage(_sketched(docs, words))
     filled = rows.where("n_shingles > 0")
-    classes = cut_lineage(filled.groupBy("digest").agg(F.min("id").alias("class")))
+    least = [F.min(F.when(F.col("given") == given, F.col("id"))).alias(name) for given, name in ((True, "_given"), (False, "_made"))]
+    classes = cut_lineage(filled.groupBy("digest").agg(F.min("id").alias("class"), *least))
     chosen = filled.alias("r").join(classes.alias("c"), (F.col("r.digest") == F.col("c.digest")) & (F.col("r.id") == F.col("c.class"))).select("r.id", "n_shingles", "registers")
     bands = _banded(chosen)
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
     in_bands = cut_lineage(bands.join(shared, "band"))
     weight = in_bands.groupBy("id").agg(F.sum("_size").alias("_weight"))
     weighed = cut_lineage(in_bands.join(weight, "id"))
-    first = cut_lineage(weighed.groupBy("band").agg(F.max(F.struct("_weight", (-F.col("id")).alias("_id"), "n_shingles")).alias("_top")).select(
-        "band", (-F.col("_top._id")).alias("rep"), F.col("_top.n_shingles").alias("_n")))
+    first = cut_lineage(weighed.groupBy("band").agg(F.max(F.struct("_weight", F.bitwise_not("id").alias("_id"), "n_shingles")).alias("_top")).select(
+        "band", F.bitwise_not("_top._id").alias("rep"), F.col("_top.n_shingles").alias("_n")))
     groups = cut_lineage(weighed.join(first, "band").groupBy("rep", "id").agg(F.min("n_shingles").alias("n"), F.min("_n").alias("_n")))
     sets = cut_lineage(_with_sets(docs, groups.select("id").distinct(), words))
     fits = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
     links = cut_lineage(_verified(groups.where((F.col("rep") != F.col("id")) & fits).select(F.col("rep").alias("a"), F.col("id").alias("b")), sets, percent))
     more = cut_lineage(_links_in_blocks(groups.select("rep", "id"), connected(links), sets, percent))
     linked = connected(links.unionByName(more))
-    of_class = cut_lineage(classes.join(linked, classes["class"] == linked["id"], "left").select("digest", F.coalesce("component", "class").alias("component")))
-    return rows.join(of_class, "digest", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    of_class = cut_lineage(classes.join(linked, classes["class"] == linked["id"], "left").select("digest", "_given", "_made", F.coalesce("component", "class").alias("_label")))
+    names = of_class.groupBy("_label").agg(F.min("_given").alias("_given"), F.min("_made").alias("_made"))
+    named = of_class.select("digest", "_label").join(names, "_label").drop("_label")
+    joined = rows.join(named, "digest", "left")
+    own = F.col("n_shingles") == 0
+    return joined.select("id", "given", "n_shingles", F.when(own, F.col("id")).otherwise(F.coalesce("_given", "_made")).alias("component"),
+                         F.when(own, F.col("given")).otherwise(F.col("_given").isNotNull()).alias("component_given"))
+
+
+def _kept() -> Column:
+    return (F.col("given") == F.col("component_given")) & (F.col("id") == F.col("component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (whether that is the row's own)."""
-    given = [F.when(F.col(c) < STAND_IN, F.col(c)) for c in ("id", "component")]
     return components(docs, words, percent).select(
-        given[0].alias("doc_id"), "n_shingles", given[1].alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+        F.when(F.col("given"), F.col("id")).alias("doc_id"), "n_shingles", F.when(F.col("component_given"), F.col("component")).alias("component_id"), _kept().alias("kept"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that name their component, with all their columns; of rows with one doc_id the first by text stays."""
-    kept = components(docs, words, percent).where("id = component").select("id").distinct()
-    rows = docs.select(F.struct("*").alias("_row"), row_id().alias("id"), text_or_empty().alias("_text")).join(kept, "id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("id").orderBy("_text"))
+    kept = components(docs, words, percent).where(_kept()).select("id", "given").distinct()
+    rows = docs.select(F.struct("*").alias("_row"), row_id().alias("id"), has_id().alias("given"), text_or_empty().alias("_text")).join(kept, ["id", "given"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("id", "given").orderBy("_text"))
     return rows.withColumn("_first", first).where("_first = 1").select("_row.*")

@@ -63,6 +63,17 @@ def test_near_duplicates(docs, awkward, nothing):
     assert near.near_duplicates(nothing).count() == 0
 
 
+def test_any_64_bit_id_is_kept(docs, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(2**62 + 5, text), (2**62 + 9, text), (2**63 - 1, text + " more"), (-2**63, "other words"), (None, text), (2**63 - 2, "alone here")]
+    for dense in (near.DENSE, 1):  # the second compares blocks pair by pair
+        monkeypatch.setattr(near, "DENSE", dense)
+        got = rows_of(near.near_duplicates(docs(*rows), words=2), "doc_id", "component_id", "kept")
+        first = 2**62 + 5
+        assert got == sorted([(first, first, True), (2**62 + 9, first, False), (2**63 - 1, first, False), (None, first, False), (-2**63, -2**63, True), (2**63 - 2, 2**63 - 2, True)], key=repr)
+    assert rows_of(near.deduplicated(docs(*rows), words=2), "doc_id") == sorted([(first,), (-2**63,), (2**63 - 2,)], key=repr)
+
+
 def test_a_small_difference_is_found_in_blocks():
     import pandas as pd
 
