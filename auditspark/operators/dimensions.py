@@ -163,10 +163,10 @@ def check_same_taxonomy(base: DataFrame, head: DataFrame) -> None:
 
 # ---------------------------------------------------------------------- from traces
 
-def model_stats(spans: DataFrame) -> DataFrame:
-    """(agent_id, models, all_dated) from the distinct models of every agent."""
-    distinct = spans.where(F.coalesce(F.col("model"), F.lit("")) != "").select("agent_id", "model").distinct()
-    dated = F.col("model").rlike(fv.DATED_SNAPSHOT)
+def model_stats(counts: DataFrame) -> DataFrame:
+    """(agent_id, models, all_dated) from the value counts of spans."""
+    distinct = counts.where(F.col("dim") == "model").select("agent_id", "value").distinct()
+    dated = F.col("value").rlike(fv.DATED_SNAPSHOT)
     return distinct.groupBy("agent_id").agg(
         F.count(F.lit(1)).alias("models"), F.min(dated.cast("int")).alias("all_dated"))
 

@@ -33,9 +33,8 @@ class Behaviour:
     max_amounts: DataFrame | None = None
 
     @classmethod
-    def of(cls, spans: DataFrame) -> "Behaviour":
-        return cls(S.summarize(spans), S.value_counts(spans, dims=S.DRIFT_FIELDS),
-                   S.amount_totals(spans), S.max_amount_spans(spans))
+    def of(cls, facts: S.Facts) -> "Behaviour":
+        return cls(S.summarize(facts), S.value_counts(facts, dims=S.DRIFT_FIELDS), S.amount_totals(facts), S.largest_amounts(facts))
 
 
 def write_baseline(behaviour: Behaviour, folder: str) -> None:

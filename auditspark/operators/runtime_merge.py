@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.functions.tables import side_by_side
+from auditspark.operators import spans as S
 
 
 def enrich(agents: DataFrame, summary: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def merge_findings(findings: DataFrame, runtime_findings: DataFrame) -> DataFram
     return findings.unionByName(runtime_findings, allowMissingColumns=True)
 
 
-def coverage(agents: DataFrame, summary: DataFrame, classified: DataFrame, runtime_findings: DataFrame) -> DataFrame:
+def coverage(agents: DataFrame, summary: DataFrame, classified: S.Facts, runtime_findings: DataFrame) -> DataFrame:
     """One row: the runtime block of an enriched registry."""
     enriched = agents.select("id").join(
         summary.select(F.col("agent_id").alias("id"), "span_count", "evidence_quality"), "id", "left")
@@ -28,9 +29,8 @@ def coverage(agents: DataFrame, summary: DataFrame, classified: DataFrame, runti
         F.count(F.lit(1)).alias("agents_total"), F.count("span_count").alias("agents_covered"),
         *[F.max(F.coalesce((F.col("evidence_quality") == q).cast("int"), F.lit(0))).alias(f"quality_{q}")
           for q in ("content", "mixed", "redacted")])
-    window = classified.agg(
-        F.count(F.lit(1)).alias("span_count"), F.min("start_at").alias("start_at"), F.max("end_at").alias("end_at"))
-    keys = classified.where(F.col("bucket") == "unmatched").select("key").distinct().agg(
-        F.count(F.lit(1)).alias("unmatched_agents"))
+    subjects = classified.rows("span").groupBy("bucket", "key").agg(F.min("first_at").alias("start_at"), F.max("last_at").alias("end_at"), F.sum("n").alias("n"))
+    window = subjects.agg(F.sum("n").alias("span_count"), F.min("start_at").alias("start_at"), F.max("end_at").alias("end_at"),
+                          F.count_if(F.col("bucket") == "unmatched").alias("unmatched_agents"))
     found = runtime_findings.agg(F.count(F.lit(1)).alias("rt_findings"))
-    return side_by_side([per_agent, window, keys, found])
+    return side_by_side([per_agent, window, found])

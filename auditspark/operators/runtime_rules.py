@@ -23,99 +23,86 @@ def suppression(settings: Settings, rule: str, agent: Column) -> Column:
     return reason
 
 
-def _rows(df: DataFrame, rule: str, context: Column, confidence: str, settings: Settings,
-          declared_key: str | None = None, refs: bool = True) -> DataFrame:
-    reason = suppression(settings, rule, F.col("id"))
-    key = F.lit(None).cast("string") if declared_key is None else F.concat(
-        F.lit('agents."'), F.col("id"), F.lit('".' + declared_key))
-    return df.select(
-        F.lit(rule).alias("rule_id"), F.col("id").alias("agent_id"), "path", "line",
-        F.lit(fv.RULES[rule][0]).alias("title"), F.lit(fv.RULES[rule][1]).alias("category"),
-        F.lit(settings.default_severity(rule)).alias("severity"), F.lit(confidence).alias("confidence"),
-        context.alias("snippet"), finding_fingerprint(F.lit(rule), F.col("path"), context).alias("fingerprint"),
-        reason.isNotNull().alias("suppressed"), reason.alias("suppression_reason"),
-        *([F.col("ref_file"), F.col("ref_line"), F.col("ref_span")] if refs else [
-            F.lit(None).cast("string").alias("ref_file"), F.lit(None).cast("long").alias("ref_line"),
-            F.lit(None).cast("string").alias("ref_span")]),
-        key.alias("declared_key"),
-    )
-
-
-def _with_ref(df: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
-    named = refs.select(*keys, F.col("file").alias("ref_file"), F.col("line").alias("ref_line"), F.col("span_id").alias("ref_span"))
-    return df.join(named, keys, "left")
-
-
-def detect(agents: DataFrame, declared: DataFrame, spans: DataFrame, settings: Settings = DEFAULT,
-           monitoring_declared: bool = True, summary: DataFrame | None = None,
-           counts: DataFrame | None = None) -> DataFrame:
-    """All runtime contradictions.
-
-    ``agents`` has id, path, line, capabilities, autonomy_level; ``declared`` is validated;
-    ``spans`` are aggregated by agent before they meet the registry, so spans of agents it does not
-    know cost nothing but their share of the scan.
+def subjects(agents: DataFrame, declared: DataFrame) -> DataFrame:
+    """Registry agents beside what was declared of them; a join by id, for the two of them stored apart."""
+    own = declared.select(F.col("agent_id").alias("id"), "autonomy_intent", "production_status", "economic_authority.max_per_action", "economic_authority.daily_aggregate")
+    return agents.select("id", "path", "line", "autonomy_level", "capabilities").join(own, "id", "left")
+
+
+def _observed(facts: S.Facts) -> DataFrame:
+    """One row per agent: its summary, the first span of each capability of the vocabulary, and where its evidence lies."""
+    vocabulary = (F.col("dim") == "capability") & F.col("value").isin(list(fv.CAPABILITY_PATTERNS))  # bounds the list
+    one = facts.rows("span", "kind", "capability", "currency").groupBy("agent_id", "dim", "value").agg(
+        *(F.sum(c).alias(c) for c in ("n", "errors", "high", "approved")), *(F.max(c).alias(c) for c in ("redacted", "content", "last_at", "max_amount", "largest")),
+        *(F.min(c).alias(c) for c in ("first_at", "first", "first_unapproved")))
+    high = (F.col("dim") == "capability") & L.is_high_impact(F.col("value"))
+    return one.groupBy(F.col("agent_id").alias("id")).agg(
+        *S.summary_columns(), F.min(F.when(F.col("dim") == "span", F.col("first_unapproved"))).alias("unapproved_at"),
+        F.collect_list(F.when(vocabulary, F.struct(F.col("value").alias("capability"), F.col("first").alias("at")))).alias("seen"),
+        F.min(F.when(high, F.struct("value", "first"))).alias("high_seen"),
+        F.max(F.when(F.col("dim") == "currency", F.struct("largest", F.col("value").alias("currency"), "max_amount"))).alias("biggest"),
+    ).withColumns(S.derived_columns())
+
+
+def _hit(when: Column, rule: str, context: Column, confidence: str, at: Column | None, declared_key: str | None = None) -> Column:
+    nothing = F.lit(None)
+    return F.when(when, F.struct(
+        F.lit(rule).alias("rule_id"), context.alias("snippet"), F.lit(confidence).alias("confidence"), (nothing if at is None else at).cast("long").alias("ord"),
+        (nothing if declared_key is None else F.lit(declared_key)).cast("string").alias("key")))
+
+
+def detect(subjects: DataFrame, facts: S.Facts, settings: Settings = DEFAULT, monitoring_declared: bool = True) -> DataFrame:
+    """All runtime contradictions, in one pass over the agents beside their observed facts.
+
+    ``subjects`` has id, path, line, capabilities, autonomy_level and the declared autonomy_intent, production_status,
+    max_per_action and daily_aggregate. Spans are aggregated by agent before they meet it, so agents it
+    does not know cost nothing but their share of the scan.
     """
-    summary = (summary if summary is not None else S.summarize(spans)).withColumnRenamed("agent_id", "id")
-    counts = counts if counts is not None else S.value_counts(spans, dims=["capability"])
-    decl = declared.select(F.col("agent_id").alias("id"), "autonomy_intent", "production_status",
-                           "economic_authority.max_per_action", "economic_authority.daily_aggregate")
-    base = agents.select("id", "path", "line", "autonomy_level").join(decl, "id", "left")
-    seen = base.join(summary, "id")
-    out = []
-
+    daily = F.coalesce(F.col("daily_aggregate.currency"), F.lit("USD"))
+    totals = S.amount_totals(facts).select(F.col("agent_id").alias("id"), F.col("currency").alias("_daily"), "total")
+    base = subjects.withColumn("_daily", daily).join(totals, ["id", "_daily"], "left").join(_observed(facts), "id", "left")
+    seen, unapproved = F.col("span_count").isNotNull(), F.col("high_impact_actions") - F.col("high_impact_approved")
+    place = F.lit(S.ORDINALS - 1) - F.pmod(F.col("biggest.largest"), F.lit(S.ORDINALS).cast("decimal(19,0)")).cast("long")
+    hits = []
     if settings.on("RT001"):
-        unapproved = F.col("high_impact_actions") - F.col("high_impact_approved")
-        hit = seen.where(F.col("autonomy_intent").isin(fv.OVERSIGHT_INTENTS) & (unapproved > 0))
-        hit = _with_ref(hit, S.first_unapproved(spans).withColumnRenamed("agent_id", "id"), ["id"])
-        context = F.format_string("autonomy_intent='%s' vs %d unapproved high-impact action(s)", F.col("autonomy_intent"), unapproved)
-        out.append(_rows(hit, "RT001", context, "high", settings, "autonomy_intent"))
-
+        hits.append(F.array(_hit(
+            seen & F.col("autonomy_intent").isin(fv.OVERSIGHT_INTENTS) & (unapproved > 0), "RT001",
+            F.format_string("autonomy_intent='%s' vs %d unapproved high-impact action(s)", F.col("autonomy_intent"), unapproved), "high", F.col("unapproved_at"), "autonomy_intent")))
     if settings.on("RT002"):
-        biggest = S.max_amount_spans(spans).select(
-            F.col("agent_id").alias("id"), F.col("amount").alias("seen_amount"), F.col("currency").alias("seen_currency"),
-            F.col("file").alias("ref_file"), F.col("line").alias("ref_line"), F.col("span_id").alias("ref_span"))
-        single = base.join(biggest, "id").where(
-            (F.col("seen_currency") == F.col("max_per_action.currency")) & (F.col("seen_amount") > F.col("max_per_action.amount")))
-        context = F.concat(F.lit("observed "), X.amount_text(F.col("seen_amount")), F.lit(" "), F.col("seen_currency"),
-                           F.lit(" > declared max_per_action "), X.amount_text(F.col("max_per_action.amount")))
-        out.append(_rows(single, "RT002", context, "high", settings, "economic_authority.max_per_action"))
-        totals = S.amount_totals(spans).select(F.col("agent_id").alias("id"), F.col("currency").alias("sum_currency"), "total")
-        daily = base.join(totals, "id").where(
-            (F.col("sum_currency") == F.coalesce("daily_aggregate.currency", F.lit("USD"))) & (F.col("total") > F.col("daily_aggregate.amount")))
-        daily = daily.join(biggest.select("id", "ref_file", "ref_line", "ref_span"), "id", "left")
-        context = F.concat(F.lit("window total "), X.amount_text(F.col("total")), F.lit(" "), F.col("daily_aggregate.currency"),
-                           F.lit(" > declared daily_aggregate "), X.amount_text(F.col("daily_aggregate.amount")))
-        out.append(_rows(daily, "RT002", context, "high", settings, "economic_authority.daily_aggregate"))
-
+        over = (F.col("biggest.currency") == F.col("max_per_action.currency")) & (F.col("biggest.max_amount") > F.col("max_per_action.amount"))
+        hits.append(F.array(
+            _hit(over, "RT002", F.concat(F.lit("observed "), X.amount_text(F.col("biggest.max_amount")), F.lit(" "), F.col("biggest.currency"),
+                                         F.lit(" > declared max_per_action "), X.amount_text(F.col("max_per_action.amount"))), "high", place, "economic_authority.max_per_action"),
+            _hit(F.col("total") > F.col("daily_aggregate.amount"), "RT002",
+                 F.concat(F.lit("window total "), X.amount_text(F.col("total")), F.lit(" "), F.col("daily_aggregate.currency"),
+                          F.lit(" > declared daily_aggregate "), X.amount_text(F.col("daily_aggregate.amount"))), "high", place, "economic_authority.daily_aggregate")))
     if settings.on("RT003"):
-        static = agents.select("id", F.explode("capabilities").alias("value"))
-        observed = counts.where((F.col("dim") == "capability") & F.col("value").isin(list(fv.CAPABILITY_PATTERNS))).select(
-            F.col("agent_id").alias("id"), "value")
-        beyond = base.join(observed.join(static, ["id", "value"], "left_anti"), "id")
-        first = S.first_capability_spans(spans).withColumnsRenamed({"agent_id": "id", "capability": "value"})
-        beyond = _with_ref(beyond, first, ["id", "value"])
-        context = F.format_string("observed capability '%s' absent from static registry", F.col("value"))
-        out.append(_rows(beyond, "RT003", context, "medium", settings))
-
+        beyond = F.filter("seen", lambda c: ~F.coalesce(F.array_contains(F.col("capabilities"), c["capability"]), F.lit(False)))
+        hits.append(F.transform(beyond, lambda c: _hit(
+            F.lit(True), "RT003", F.format_string("observed capability '%s' absent from static registry", c["capability"]), "medium", c["at"])))
     if settings.on("RT004") and monitoring_declared:
-        silent = base.where(F.col("production_status") == "production").join(summary.select("id"), "id", "left_anti")
-        out.append(_rows(silent, "RT004", F.lit("production + monitoring declared, zero spans observed"), "medium",
-                         settings, "production_status", refs=False))
-
+        hits.append(F.array(_hit((F.col("production_status") == "production") & ~seen, "RT004", F.lit("production + monitoring declared, zero spans observed"),
+                                 "medium", None, "production_status")))
     if settings.on("RT005"):
-        confirmed = seen.where(
-            (F.col("autonomy_level") == "human_approved") & (F.col("high_impact_actions") > 0) & (F.col("approval_rate") == 1.0))
-        first_high = (
-            S.first_capability_spans(spans.where(L.is_high_impact(F.col("capability"))))
-            .groupBy(F.col("agent_id").alias("id"))
-            .agg(F.min(F.struct("capability", "file", "line", "span_id")).alias("r")).select("id", "r.file", "r.line", "r.span_id"))
-        confirmed = _with_ref(confirmed, first_high, ["id"])
-        context = F.format_string("approval observed on %1$d/%1$d high-impact action(s)", F.col("high_impact_actions"))
-        out.append(_rows(confirmed, "RT005", context, "high", settings))
-
-    if not out:
-        return _rows(base.limit(0), "RT001", F.lit(""), "high", settings, refs=False)
-    rows = out[0]
-    for part in out[1:]:
-        rows = rows.unionByName(part)
-    return rows
+        hits.append(F.array(_hit(
+            (F.col("autonomy_level") == "human_approved") & (F.col("high_impact_actions") > 0) & (F.col("approval_rate") == 1.0), "RT005",
+            F.format_string("approval observed on %1$d/%1$d high-impact action(s)", F.col("high_impact_actions")), "high", F.col("high_seen.first"))))
+    none = F.array().cast("array<struct<rule_id:string,snippet:string,confidence:string,ord:bigint,key:string>>")
+    found = base.select("id", "path", "line", F.explode(F.array_compact(F.concat(none, *(F.coalesce(h, none) for h in hits)))).alias("h")).select("id", "path", "line", "h.*")
+    placed = _placed(facts, found)
+    rule, reason = F.col("rule_id"), F.lit(None).cast("string")
+    for name in sorted(r for r in fv.RULES if r.startswith("RT")):
+        reason = F.when(rule == name, suppression(settings, name, F.col("id"))).otherwise(reason)
+    of = lambda i: L.mapped(rule, {r: v[i] for r, v in fv.RULES.items()})
+    return placed.withColumn("suppression_reason", reason).select(
+        "rule_id", F.col("id").alias("agent_id"), "path", "line", of(0).alias("title"), of(1).alias("category"),
+        L.mapped(rule, {r: settings.default_severity(r) for r in fv.RULES if r.startswith("RT")}).alias("severity"), "confidence", "snippet",
+        finding_fingerprint(rule, F.col("path"), F.col("snippet")).alias("fingerprint"), F.col("suppression_reason").isNotNull().alias("suppressed"), "suppression_reason",
+        "ref_file", "ref_line", "ref_span",
+        F.when(F.col("key").isNotNull(), F.concat(F.lit('agents."'), F.col("id"), F.lit('".'), F.col("key"))).alias("declared_key"))
+
+
+def _placed(facts: S.Facts, found: DataFrame) -> DataFrame:
+    """Findings with ref_file, ref_line and ref_span."""
+    return facts.refs(found.withColumnRenamed("line", "_own_line")).withColumnsRenamed(
+        {"file": "ref_file", "line": "ref_line", "span_id": "ref_span", "_own_line": "line"})

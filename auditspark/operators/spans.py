@@ -1,23 +1,29 @@
 """Per-agent aggregation of spans.
 
-Results stay in long tables (agent, dimension, value, n) so that an agent with very many
-distinct values, or a third of all spans, never becomes one big row: counts are combined map-side
-before the shuffle, and only fixed-width buffers are used in the wide summary, which keeps it a
-hash aggregate. "First" evidence is taken from the small filtered subset that can be first.
+One scan of the spans gives one long table of facts: a row for each agent (or, without one, hint), window, dimension and
+value, with measures of fixed width that combine map-side. An agent with very many values, or a third of all spans, never becomes one big
+row, and every rule re-aggregates the facts instead of reading spans again. "First" and "largest" evidence is
+an ordinal of the span (file, then line) packed into one number, so it merges like a count; the span it
+names is looked up at the end, for the few rows that are reported.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark import fixed_values as fv
 from auditspark.functions import levels as L
+from auditspark.session import cut_lineage
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
-COUNTED = {"kind": "kind", "status": "status", "capability": "capability", "integration": "integration",
-           "provider": "provider", "model": "model"}
+COUNTED = ["kind", "status", "capability", "integration", "provider", "model"]
 DRIFT_FIELDS = ["kind", "capability", "integration"]
+#: Lines of a file that an ordinal tells apart, and ordinals of all files.
+LINES, ORDINALS = 1 << 31, 10**18
 
 
 def iso(ts: Column) -> Column:
@@ -33,134 +39,176 @@ def is_approved() -> Column:
     return F.coalesce(F.col("approval_span_id"), F.lit("")) != ""
 
 
-def summarize(spans: DataFrame, key: str = "agent_id") -> DataFrame:
-    """One row per agent with every scalar of the summary."""
-    status = F.when(F.coalesce(F.col("status"), F.lit("")) == "", "ok").otherwise(F.col("status"))
-    high = is_high_impact_action()
-    grouped = spans.groupBy(key).agg(
-        F.count(F.lit(1)).alias("span_count"),
-        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in fv.SPAN_KINDS],
-        F.count_if(status == "error").alias("errors"),
-        F.count_if(high).alias("high_impact_actions"),
-        F.count_if(high & is_approved()).alias("high_impact_approved"),
-        F.max(F.when(F.col("redaction") == "redacted", 1).otherwise(0)).alias("_redacted"),
-        F.max(F.when(F.col("redaction") == "content", 1).otherwise(0)).alias("_content"),
-        F.min("start_at").alias("first_at"),
-        F.max("end_at").alias("last_at"),
-        F.max("amount.amount").alias("max_amount"),
-    )
-    return grouped.select(
-        key, "span_count", *[f"n_{k}" for k in fv.SPAN_KINDS], "errors",
-        L.half_even(F.col("errors") / F.col("span_count"), 4).alias("error_rate"),
-        "high_impact_actions", "high_impact_approved",
-        F.when(F.col("high_impact_actions") > 0,
-               L.half_even(F.col("high_impact_approved") / F.col("high_impact_actions"), 4)).alias("approval_rate"),
-        F.col("n_approval").alias("approval_spans"),
-        F.when((F.col("_redacted") == 1) & (F.col("_content") == 1), "mixed")
-        .when(F.col("_content") == 1, "content").otherwise("redacted").alias("evidence_quality"),
-        "first_at", "last_at", "max_amount",
-    )
+def _filled(c: Column) -> Column:
+    """The text, or null where it is empty."""
+    return F.when(c != "", c)
+
+
+# ---------------------------------------------------------------- one aggregate
+
+Locate = Callable[[DataFrame, str], DataFrame]
+
+
+def ordered(spans: DataFrame) -> DataFrame:
+    """Spans with `ord`, their ordinal by file name and line; file names alone meet in one window."""
+    files = spans.select("trace_file").distinct().withColumn("_file", F.row_number().over(Window.orderBy("trace_file")).cast("long"))
+    return spans.join(files, "trace_file").withColumn("ord", F.col("_file") * LINES + F.col("trace_line")).drop("_file")
 
 
-def value_counts(spans: DataFrame, key: str = "agent_id", dims: list[str] | None = None) -> DataFrame:
-    """(agent, dim, value, n): kinds, statuses, capabilities, integrations, providers, models.
+def located_in(spans: DataFrame) -> Locate:
+    """Looks ordinals up in the spans themselves."""
+    named = spans.select("ord", F.col("trace_file").alias("file"), F.col("trace_line").alias("line"), "span_id")
+    return lambda df, name: df.join(named.withColumnRenamed("ord", name), name, "left").drop(name)
 
-    Distinct sets are the values of this table; counts combine before the shuffle.
+
+@dataclass(frozen=True)
+class Facts:
+    """agent_id, hint (null where there is an agent_id), is_now, dim, value and the measures.
+
+    Dimensions: span (value ''), the fields of COUNTED, currency (of spans with an amount) and delegate (the target).
     """
-    dims = dims or list(COUNTED)
-    pairs = F.array(*[
-        F.struct(F.lit(d).alias("dim"), F.col(COUNTED[d]).alias("value")) for d in dims])
-    return (
-        spans.select(key, F.explode(pairs).alias("p"))
-        .where(F.coalesce(F.col("p.value"), F.lit("")) != "")
-        .groupBy(key, F.col("p.dim").alias("dim"), F.col("p.value").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
 
+    table: DataFrame
+    located: Locate
 
-def delegations(spans: DataFrame, key: str = "agent_id") -> DataFrame:
-    return (
-        spans.where((F.col("kind") == "delegation") & (F.coalesce(F.col("to_agent_id"), F.lit("")) != ""))
-        .select(key, "to_agent_id").distinct()
-    )
+    def stored(self) -> "Facts":
+        """Computed once and kept, for more than one use."""
+        return replace(self, table=cut_lineage(self.table))
 
+    def given(self) -> "Facts":
+        return replace(self, table=self.table.where(F.col("agent_id").isNotNull()))
 
-def trace_files(spans: DataFrame, key: str = "agent_id") -> DataFrame:
-    return spans.where(F.col("trace_file").isNotNull()).select(key, "trace_file").distinct()
+    def window(self, now: bool) -> "Facts":
+        return replace(self, table=self.table.where(F.col("is_now") == now))
 
+    def rows(self, *dims: str) -> DataFrame:
+        return self.table.where(F.col("dim").isin(*dims))
 
-def amount_totals(spans: DataFrame, key: str = "agent_id") -> DataFrame:
-    """(agent, currency, total): exact decimal sums, so addition order cannot matter."""
-    currency = F.when(F.coalesce(F.col("amount.currency"), F.lit("")) == "", "USD").otherwise(F.col("amount.currency"))
-    return (
-        spans.where(F.col("amount.amount").isNotNull())
-        .groupBy(key, currency.alias("currency"))
-        .agg(F.sum(F.col("amount.amount").cast("decimal(24,4)")).cast("double").alias("total"))
-    )
+    def refs(self, df: DataFrame, name: str = "ord") -> DataFrame:
+        """*df* with file, line and span_id in place of the ordinal."""
+        return self.located(df, name)
+
+
+def facts(spans: DataFrame, located: Locate | None = None, now: Column | None = None) -> Facts:
+    """The facts of *spans*, which have `ord` if *located* is given; *now* tells the current window from the baseline."""
+    if located is None:
+        spans = ordered(spans)
+        located = located_in(spans)
+    hint = F.concat_ws(":", *(F.coalesce(_filled(F.col(f"agent_hint.{part}")), F.lit("unknown")) for part in ("module", "qualname")))
+    agent, high = _filled(F.col("agent_id")), is_high_impact_action()
+    amount, status = F.col("amount.amount"), F.coalesce(_filled(F.col("status")), F.lit("ok"))
+    currency = F.when(amount.isNotNull(), F.coalesce(_filled(F.col("amount.currency")), F.lit("USD")))
+    fields = {"span": F.lit(""), **{d: _filled(F.col(d)) for d in COUNTED}, "currency": currency,
+              "delegate": F.when(F.col("kind") == "delegation", _filled(F.col("to_agent_id")))}
+    pairs = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(d).alias("dim"), v.alias("value"))) for d, v in fields.items()])
+    # the amount to a millionth before the ordinal, which the earliest span wins
+    scaled = F.greatest(F.lit(-1e13), F.least(F.lit(1e13), amount)).cast("decimal(20,6)").cast("decimal(26,6)") * F.lit(10**6).cast("decimal(7,0)")
+    largest = scaled.cast("decimal(20,0)") * F.lit(ORDINALS).cast("decimal(19,0)") + (F.lit(ORDINALS - 1) - F.col("ord")).cast("decimal(19,0)")
+    flat = spans.select(
+        agent.alias("agent_id"), F.when(agent.isNull(), hint).alias("hint"), (F.lit(True) if now is None else now).alias("is_now"),
+        (status == "error").alias("error"), high.alias("high"), (high & is_approved()).alias("approved"),
+        F.when(F.col("redaction") == "redacted", 1).when(F.col("redaction") == "content", 2).otherwise(0).alias("text"),
+        "start_at", "end_at", amount.cast("double").alias("amount"), amount.cast("decimal(24,4)").alias("sum"), largest.alias("largest"), "ord",
+        F.explode(F.array_compact(pairs)).alias("p"))
+    return Facts(flat.groupBy("agent_id", "hint", "is_now", F.col("p.dim").alias("dim"), F.col("p.value").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("error").alias("errors"), F.count_if("high").alias("high"), F.count_if("approved").alias("approved"),
+        F.max((F.col("text") == 1).cast("int")).alias("redacted"), F.max((F.col("text") == 2).cast("int")).alias("content"),
+        F.min("start_at").alias("first_at"), F.max("end_at").alias("last_at"), F.max("amount").alias("max_amount"), F.sum("sum").alias("total"),
+        F.max("largest").alias("largest"), F.min("ord").alias("first"), F.min(F.when(F.col("high") & ~F.col("approved"), F.col("ord"))).alias("first_unapproved"),
+    ), located)
 
 
-def _first(spans: DataFrame, keys: list[str]) -> DataFrame:
-    ref = F.struct(F.col("trace_file").alias("file"), F.col("trace_line").alias("line"), "span_id")
-    return spans.groupBy(*keys).agg(F.min(ref).alias("ref")).select(*keys, "ref.file", "ref.line", "ref.span_id")
+def summary_columns() -> list[Column]:
+    """Aggregates over rows of the dimensions span and kind."""
+    whole = F.col("dim") == "span"
+    of = lambda name: F.when(whole, F.col(name))
+    return [F.sum(of("n")).alias("span_count"), *(F.coalesce(F.sum(F.when((F.col("dim") == "kind") & (F.col("value") == k), F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in fv.SPAN_KINDS),
+            F.sum(of("errors")).alias("errors"), F.sum(of("high")).alias("high_impact_actions"), F.sum(of("approved")).alias("high_impact_approved"),
+            F.max(of("redacted")).alias("_redacted"), F.max(of("content")).alias("_content"), F.min(of("first_at")).alias("first_at"),
+            F.max(of("last_at")).alias("last_at"), F.max(of("max_amount")).alias("max_amount")]
 
 
-def first_unapproved(spans: DataFrame, key: str = "agent_id") -> DataFrame:
+def derived_columns() -> dict[str, Column]:
+    """Rates and the evidence quality, from the columns of summary_columns()."""
+    mixed = (F.col("_redacted") == 1) & (F.col("_content") == 1)
+    return {"error_rate": L.half_even(F.col("errors") / F.col("span_count"), 4),
+            "approval_rate": F.when(F.col("high_impact_actions") > 0, L.half_even(F.col("high_impact_approved") / F.col("high_impact_actions"), 4)),
+            "approval_spans": F.col("n_approval"),
+            "evidence_quality": F.when(mixed, "mixed").when(F.col("_content") == 1, "content").otherwise("redacted")}
+
+
+def summarize(f: Facts, *key: str) -> DataFrame:
+    """One row per agent (or *key*) with every scalar of the summary."""
+    return f.rows("span", "kind").groupBy(*(key or ("agent_id",))).agg(*summary_columns()).withColumns(derived_columns()).drop("_redacted", "_content")
+
+
+def value_counts(f: Facts, dims: list[str] | None = None) -> DataFrame:
+    """(agent_id, dim, value, n): kinds, statuses, capabilities, integrations, providers, models; distinct sets are its values."""
+    return f.rows(*(dims or COUNTED)).groupBy("agent_id", "dim", "value").agg(F.sum("n").alias("n"))
+
+
+def delegations(f: Facts) -> DataFrame:
+    return f.rows("delegate").select("agent_id", F.col("value").alias("to_agent_id")).distinct()
+
+
+def amount_totals(f: Facts) -> DataFrame:
+    """(agent_id, currency, total): exact decimal sums, so addition order cannot matter."""
+    return f.rows("currency").groupBy("agent_id", F.col("value").alias("currency")).agg(F.sum("total").cast("double").alias("total"))
+
+
+def first_unapproved(f: Facts) -> DataFrame:
     """The first high-impact action without an approval, in file and line order."""
-    return _first(spans.where(is_high_impact_action() & ~is_approved()), [key])
+    first = f.rows("span").where(F.col("first_unapproved").isNotNull()).groupBy("agent_id").agg(F.min("first_unapproved").alias("ord"))
+    return f.refs(first)
 
 
-def first_capability_spans(spans: DataFrame, key: str = "agent_id") -> DataFrame:
-    return _first(spans.where(F.coalesce(F.col("capability"), F.lit("")) != ""), [key, "capability"])
+def first_capability_spans(f: Facts) -> DataFrame:
+    return f.refs(f.rows("capability").groupBy("agent_id", F.col("value").alias("capability")).agg(F.min("first").alias("ord")))
 
 
-def max_amount_spans(spans: DataFrame, key: str = "agent_id") -> DataFrame:
-    """The largest amount whatever its currency; the earliest span wins a tie."""
-    currency = F.when(F.coalesce(F.col("amount.currency"), F.lit("")) == "", "USD").otherwise(F.col("amount.currency"))
-    best = F.min(F.struct(
-        (-F.col("amount.amount")).alias("neg"), F.col("trace_file").alias("file"), F.col("trace_line").alias("line"),
-        "span_id", currency.alias("currency")))
-    return (
-        spans.where(F.col("amount.amount").isNotNull()).groupBy(key).agg(best.alias("b"))
-        .select(key, (-F.col("b.neg")).alias("amount"), "b.currency", "b.file", "b.line", "b.span_id")
-    )
+def largest_amounts(f: Facts) -> DataFrame:
+    """agent_id, amount, currency, ord: the largest amount whatever its currency; the earliest span wins a tie (of amounts to a millionth)."""
+    best = f.rows("currency").groupBy("agent_id").agg(F.max(F.struct("largest", "value")).alias("b"), F.max("max_amount").alias("amount"))
+    place = F.lit(ORDINALS - 1) - F.pmod(F.col("b.largest"), F.lit(ORDINALS).cast("decimal(19,0)")).cast("long")
+    return best.select("agent_id", "amount", F.col("b.value").alias("currency"), place.alias("ord"))
+
 
+def max_amount_spans(f: Facts) -> DataFrame:
+    return f.refs(largest_amounts(f))
 
-def window_totals(spans: DataFrame) -> DataFrame:
-    return spans.agg(
-        F.min("start_at").alias("start_at"), F.max("end_at").alias("end_at"), F.count(F.lit(1)).alias("span_count"))
+
+def window_totals(f: Facts) -> DataFrame:
+    return f.rows("span").agg(F.min("first_at").alias("start_at"), F.max("last_at").alias("end_at"), F.coalesce(F.sum("n"), F.lit(0)).alias("span_count"))
 
 
 # ---------------------------------------------------------------- correlation with a registry
 
-def classify(spans: DataFrame, registry_ids: DataFrame | None) -> DataFrame:
-    """Adds ``bucket`` (matched / unmatched), ``key`` and ``reason`` to every span.
+def classify(f: Facts, registry_ids: DataFrame | None) -> Facts:
+    """Facts with `bucket` (matched / unmatched), `key` and `reason`: every agent and hint is held against the registry once.
 
     ``registry_ids`` has one column ``id``; without it every given id counts as known.
     """
-    has_id = F.coalesce(F.col("agent_id"), F.lit("")) != ""
-
-    def part(name):
-        value = F.col(f"agent_hint.{name}")
-        return F.when(F.coalesce(value, F.lit("")) == "", "unknown").otherwise(value)
-
-    hint = F.concat_ws(":", part("module"), part("qualname"))
+    subjects = f.rows("span").select("agent_id", "hint").distinct()
     if registry_ids is None:
-        joined = spans.withColumn("_known", has_id)
+        known = subjects.withColumn("_known", F.col("agent_id").isNotNull())
     else:
-        known = registry_ids.select(F.col("id").alias("agent_id")).distinct().withColumn("_known", F.lit(True))
-        joined = spans.join(known, "agent_id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
-    return joined.withColumns({
-        "bucket": F.when(has_id & F.col("_known"), "matched").otherwise("unmatched"),
-        "key": F.when(has_id & F.col("_known"), F.col("agent_id"))
-        .when(has_id, F.concat(F.lit("unknown-id:"), F.col("agent_id"))).otherwise(hint),
-        "reason": F.when(has_id & F.col("_known"), F.lit(None))
-        .when(has_id, "agent_id not present in the registry").otherwise("no agent_id supplied (hint only)"),
-    }).drop("_known")
-
-
-def unmatched(classified: DataFrame) -> DataFrame:
-    return classified.where(F.col("bucket") == "unmatched").groupBy("key", "reason").agg(
-        F.count(F.lit(1)).alias("span_count"))
+        ids = registry_ids.select(F.col("id").alias("agent_id")).distinct().withColumn("_known", F.lit(True))
+        hints = subjects.where(F.col("agent_id").isNull()).withColumn("_known", F.lit(False))  # never meet the registry
+        agents = subjects.where(F.col("agent_id").isNotNull()).join(ids, "agent_id", "left")
+        known = agents.withColumn("_known", F.coalesce("_known", F.lit(False))).select(*hints.columns).unionByName(hints)
+    given = F.col("agent_id").isNotNull()
+    named = known.select(
+        F.coalesce("agent_id", F.lit("")).alias("_agent"), F.coalesce("hint", F.lit("")).alias("_hint"),
+        F.when(F.col("_known"), "matched").otherwise("unmatched").alias("bucket"),
+        F.when(F.col("_known"), F.col("agent_id")).when(given, F.concat(F.lit("unknown-id:"), F.col("agent_id"))).otherwise(F.col("hint")).alias("key"),
+        F.when(F.col("_known"), F.lit(None)).when(given, "agent_id not present in the registry").otherwise("no agent_id supplied (hint only)").alias("reason"))
+    met = f.table.withColumns({"_agent": F.coalesce("agent_id", F.lit("")), "_hint": F.coalesce("hint", F.lit(""))}).join(named, ["_agent", "_hint"])
+    return replace(f, table=met.drop("_agent", "_hint"))
+
+
+def unmatched(classified: Facts) -> DataFrame:
+    """key, reason and the whole summary of spans that no registry agent owns."""
+    return summarize(replace(classified, table=classified.table.where(F.col("bucket") == "unmatched")), "key", "reason")
 
 
 def suggested_matches(unmatched_keys: DataFrame, agents: DataFrame) -> DataFrame:

@@ -71,7 +71,9 @@ agents AS (
     {chosen(list(fv.CONTROL_DIMENSIONS), 'c_custkey', 5, 3, 6, 2)} AS controls,
     (['recommend_only', 'human_approved', 'bounded_autonomous', 'unrestricted_autonomous', 'indeterminate'])[c_custkey % 5 + 1] AS autonomy_level,
     c_custkey % 15 = 3 AS has_bounding
-  FROM customer WHERE c_custkey % 10 <> 9)"""
+  FROM customer)"""
+# where unknown ids are the point, every tenth agent is missing from the registry
+KNOWN_AGENTS = AGENTS.replace("FROM customer)", "FROM customer WHERE c_custkey % 10 <> 9)")
 
 _FINDING_RULES = [r for r in fv.RULES if not r.startswith(("DECL", "RT"))]
 

@@ -1,7 +1,7 @@
 """SQL for the result checks: every query once more over the same tables, written for DuckDB."""
 
 from auditspark import fixed_values as fv
-from auditspark.plans.oracle_views import AGENTS, CODE, DECLARED, FINDINGS, ISO, SPANS, sql_case, sql_in, sql_list, with_views
+from auditspark.plans.oracle_views import AGENTS, CODE, DECLARED, FINDINGS, ISO, KNOWN_AGENTS, SPANS, sql_case, sql_in, sql_list, with_views
 from auditspark.plans.queries import AS_OF, DOCUMENT_RULES
 from auditspark.sources import derived as dv
 
@@ -79,11 +79,18 @@ classified AS (
     CASE WHEN a.id IS NOT NULL THEN NULL WHEN s.agent_id IS NOT NULL THEN 'agent_id not present in the registry'
          ELSE 'no agent_id supplied (hint only)' END AS reason
   FROM span_flags s LEFT JOIN agents a ON a.id = s.agent_id)"""
-SQL["span_correlation"] = with_views(SPANS, AGENTS, CLASSIFIED, body="SELECT bucket, key, reason, count(*) AS span_count FROM classified GROUP BY bucket, key, reason")
-SQL["suggested_matches"] = with_views(SPANS, AGENTS, CLASSIFIED, body="""
+SQL["span_correlation"] = with_views(SPANS, KNOWN_AGENTS, CLASSIFIED, body="SELECT bucket, key, reason, count(*) AS span_count FROM classified GROUP BY bucket, key, reason")
+SQL["suggested_matches"] = with_views(SPANS, KNOWN_AGENTS, CLASSIFIED, body="""
 SELECT DISTINCT k.key, a.id AS agent_id, a.name, a.path
 FROM (SELECT DISTINCT key FROM classified WHERE bucket = 'unmatched') k JOIN agents a
   ON a.symbol IN (split_part(split_part(k.key, ':', 1), '.', 1), split_part(split_part(k.key, ':', 1), '.', 2), split_part(split_part(k.key, ':', 2), '.', 1))""")
+SQL["unmatched_summaries"] = with_views(SPANS, KNOWN_AGENTS, CLASSIFIED, body=f"""
+SELECT key, reason, count(*) AS span_count, count(*) FILTER (kind = 'action') AS n_action, count(*) FILTER (kind = 'tool_call') AS n_tool_call,
+  count(*) FILTER (status = 'error') AS errors, CAST(round_even(count(*) FILTER (status = 'error') / count(*), 4) AS DOUBLE) AS error_rate,
+  count(*) FILTER (hi) AS high_impact_actions, count(*) FILTER (hi AND approval_span_id IS NOT NULL) AS high_impact_approved, max(amount) AS max_amount,
+  CASE WHEN bool_or(redaction = 'redacted') AND bool_or(redaction = 'content') THEN 'mixed' WHEN bool_or(redaction = 'content') THEN 'content' ELSE 'redacted' END AS evidence_quality,
+  strftime(min(start_at), {ISO}) AS first_ts, strftime(max(end_at), {ISO}) AS last_ts
+FROM classified WHERE bucket = 'unmatched' GROUP BY key, reason""")
 SQL["agents_without_spans"] = with_views(SPANS, AGENTS, body="SELECT id AS agent_id FROM agents WHERE id NOT IN (SELECT agent_id FROM spans WHERE agent_id IS NOT NULL)")
 SQL["span_delegations"] = with_views(SPANS, GIVEN, body="SELECT DISTINCT agent_id, to_agent_id FROM given WHERE kind = 'delegation'")
 SQL["approvals_verified"] = with_views(SPANS, GIVEN, body="""
@@ -175,7 +182,7 @@ SQL["rt_contradictions"] = with_views(SPANS, AGENTS, DECLARED, *RT, body="SELECT
 SQL["merge_liveness"] = with_views(SPANS, AGENTS, KNOWN, f" s AS ({summary('known')})", body="""
 SELECT a.id, CASE WHEN s.agent_id IS NULL THEN 'idle' ELSE 'active' END AS liveness_state, s.span_count, s.approval_rate, s.evidence_quality
 FROM agents a LEFT JOIN s ON s.agent_id = a.id""")
-SQL["merge_coverage"] = with_views(SPANS, AGENTS, DECLARED, CLASSIFIED, *RT, body=f"""
+SQL["merge_coverage"] = with_views(SPANS, KNOWN_AGENTS, DECLARED, CLASSIFIED, *RT, body=f"""
 SELECT (SELECT count(*) FROM agents) AS agents_total, (SELECT count(*) FROM s) AS agents_covered, count(*) AS span_count,
   count(DISTINCT CASE WHEN bucket = 'unmatched' THEN key END) AS unmatched_agents, (SELECT count(*) FROM rt) AS rt_findings,
   strftime(min(start_at), {ISO}) AS start_ts, strftime(max(end_at), {ISO}) AS end_ts,
@@ -351,8 +358,8 @@ decl0 AS (
 decl AS (
   SELECT rule_id, id AS agent_id, path, line, severity, snippet, substr(sha256(rule_id || ':' || path || ':' || rule_id || ':' || id), 1, 16) AS fingerprint,
     'agents."' || id || '"' || k AS declared_key FROM decl0)"""
-SQL["decl_contradictions"] = with_views(AGENTS, FINDINGS, DECLARED, DECL, body="SELECT * FROM decl")
-SQL["assurance_contradictions"] = with_views(SPANS, AGENTS, FINDINGS, DECLARED, DECL, *RT, body="""
+SQL["decl_contradictions"] = with_views(KNOWN_AGENTS, FINDINGS, DECLARED, DECL, body="SELECT * FROM decl")
+SQL["assurance_contradictions"] = with_views(SPANS, KNOWN_AGENTS, FINDINGS, DECLARED, DECL, *RT, body="""
 SELECT rule_id, path, line, severity FROM decl UNION ALL SELECT rule_id, path, line, severity FROM rt WHERE NOT suppressed""")
 
 

@@ -37,13 +37,9 @@ def _joined(col) -> F.Column:
 
 # ------------------------------------------------------------------ spans
 
-def _known_spans(spark, d):
-    """Spans that carry an agent id.
-
-    Everything built on them aggregates first and meets the registry afterwards, which drops
-    agents it does not know; raw spans are never joined.
-    """
-    return _given(derived.spans(spark, d))
+def _facts(spark, d, now=None) -> S.Facts:
+    """The facts of all spans: everything below is derived from them, and spans never meet the registry."""
+    return S.facts(derived.spans(spark, d), derived.locate, now)
 
 
 def _given(spans: DataFrame) -> DataFrame:
@@ -51,74 +47,87 @@ def _given(spans: DataFrame) -> DataFrame:
 
 
 def _behaviours(spark, d):
-    base, now = derived.split_at_cutoff(_given(derived.spans(spark, d)))
-    return drift.Behaviour.of(now), drift.Behaviour.of(base)
+    """(current window, baseline window) of agents, from one table of facts."""
+    facts = _facts(spark, d, derived.is_now()).given().stored()
+    return drift.Behaviour.of(facts.window(True)), drift.Behaviour.of(facts.window(False))
+
+
+def _declared(registry):
+    return declarations.valid_declared(registry.declared)
 
 
-def _declared(spark, d):
-    return declarations.valid_declared(derived.declared(spark, d))
+def _static(registry):
+    return registry.agents.select(F.col("id").alias("agent_id"), F.explode("capabilities").alias("capability"))
 
 
-def _static(spark, d):
-    return derived.registry_agents(spark, d).select(F.col("id").alias("agent_id"), F.explode("capabilities").alias("capability"))
+def _stamped(summary: DataFrame) -> list:
+    return [S.iso(F.col("first_at")).alias("first_ts"), S.iso(F.col("last_at")).alias("last_ts")]
 
 
 @query
 def span_summary(spark, d):
-    s = S.summarize(_given(derived.spans(spark, d)))
+    s = S.summarize(_facts(spark, d).given())
     return s.select("agent_id", "span_count", *[f"n_{k}" for k in fv.SPAN_KINDS], "errors", "error_rate", "high_impact_actions",
-                    "high_impact_approved", "approval_rate", "evidence_quality", S.iso(F.col("first_at")).alias("first_ts"),
-                    S.iso(F.col("last_at")).alias("last_ts"), "max_amount")
+                    "high_impact_approved", "approval_rate", "evidence_quality", *_stamped(s), "max_amount")
 
 
 @query
 def span_value_counts(spark, d):
-    return S.value_counts(_given(derived.spans(spark, d)))
+    return S.value_counts(_facts(spark, d).given())
 
 
 @query
 def span_window_totals(spark, d):
-    sp = derived.spans(spark, d)
-    w = S.window_totals(sp).select(F.lit("*").alias("agent_id"), F.lit("spans").alias("currency"), F.col("span_count").cast("double").alias("total"),
-                                   S.iso(F.col("start_at")).alias("start_ts"), S.iso(F.col("end_at")).alias("end_ts"))
+    facts = _facts(spark, d).stored()
+    w = S.window_totals(facts).select(F.lit("*").alias("agent_id"), F.lit("spans").alias("currency"), F.col("span_count").cast("double").alias("total"),
+                                      S.iso(F.col("start_at")).alias("start_ts"), S.iso(F.col("end_at")).alias("end_ts"))
     none = F.lit(None).cast("string")
-    return w.unionByName(S.amount_totals(_given(sp)).select("agent_id", "currency", "total", none.alias("start_ts"), none.alias("end_ts")))
+    return w.unionByName(S.amount_totals(facts.given()).select("agent_id", "currency", "total", none.alias("start_ts"), none.alias("end_ts")))
 
 
 @query
 def first_unapproved_ref(spark, d):
-    sp = _given(derived.spans(spark, d))
-    un = S.first_unapproved(sp).select("agent_id", F.lit("unapproved").alias("ref"), "file", "line", "span_id")
-    caps = S.first_capability_spans(sp).select("agent_id", F.col("capability").alias("ref"), "file", "line", "span_id")
+    facts = _facts(spark, d).given().stored()
+    un = S.first_unapproved(facts).select("agent_id", F.lit("unapproved").alias("ref"), "file", "line", "span_id")
+    caps = S.first_capability_spans(facts).select("agent_id", F.col("capability").alias("ref"), "file", "line", "span_id")
     return un.unionByName(caps)
 
 
 @query
 def max_amount_ref(spark, d):
-    return S.max_amount_spans(_given(derived.spans(spark, d)))
+    return S.max_amount_spans(_facts(spark, d).given())
 
 
 @query
 def span_correlation(spark, d):
-    c = S.classify(derived.spans(spark, d), derived.registry_agents(spark, d))
-    return c.groupBy("bucket", "key", "reason").agg(F.count(F.lit(1)).alias("span_count"))
+    """Spans of every tenth agent meet a registry that doesn't have it."""
+    c = S.classify(_facts(spark, d).stored(), derived.registry(spark, d).known)
+    return c.rows("span").groupBy("bucket", "key", "reason").agg(F.sum("n").alias("span_count"))
+
+
+@query
+def unmatched_summaries(spark, d):
+    """The whole summary of spans without a registry agent; every tenth agent is left out of the registry for it."""
+    u = S.unmatched(S.classify(_facts(spark, d).stored(), derived.registry(spark, d).known))
+    return u.select("key", "reason", "span_count", "n_action", "n_tool_call", "errors", "error_rate", "high_impact_actions", "high_impact_approved",
+                    "max_amount", "evidence_quality", *_stamped(u))
 
 
 @query
 def suggested_matches(spark, d):
-    agents = derived.registry_agents(spark, d)
-    return S.suggested_matches(S.unmatched(S.classify(derived.spans(spark, d), agents)), agents)
+    """Proposals among the nine agents in ten that the registry has here."""
+    agents = derived.registry(spark, d).known
+    return S.suggested_matches(S.unmatched(S.classify(_facts(spark, d).stored(), agents)), agents)
 
 
 @query
 def agents_without_spans(spark, d):
-    agents = derived.registry_agents(spark, d)
-    return S.without_evidence(agents, _known_spans(spark, d).select("agent_id").distinct())
+    return S.without_evidence(derived.registry_agents(spark, d), _facts(spark, d).given().rows("span").select("agent_id").distinct())
 
 
 @query
 def span_delegations(spark, d):
-    return S.delegations(_given(derived.spans(spark, d)))
+    return S.delegations(_facts(spark, d).given())
 
 
 @query
@@ -131,7 +140,7 @@ def approvals_verified(spark, d):
 @query
 def drift_new_values(spark, d):
     now, base = _behaviours(spark, d)
-    return drift.new_values(now, base, _static(spark, d)).select("class", "kind", "agent_id", "category", "high_impact")
+    return drift.new_values(now, base, _static(derived.registry(spark, d))).select("class", "kind", "agent_id", "category", "high_impact")
 
 
 @query
@@ -149,7 +158,7 @@ def drift_approval_drop(spark, d):
 @query
 def drift_amount_limits(spark, d):
     now, _ = _behaviours(spark, d)
-    return drift.amount_breaches(now, _declared(spark, d)).select("kind", "agent_id", "observed", "declared", "currency")
+    return drift.amount_breaches(now, _declared(derived.registry(spark, d))).select("kind", "agent_id", "observed", "declared", "currency")
 
 
 @query
@@ -161,44 +170,50 @@ def drift_gone(spark, d):
 @query
 def drift_summary(spark, d):
     now, base = _behaviours(spark, d)
-    return drift.summarize_events(drift.compute_drift(now, base, _static(spark, d), _declared(spark, d), LOW))
+    registry = derived.registry(spark, d)
+    return drift.summarize_events(drift.compute_drift(now, base, _static(registry), _declared(registry), LOW))
 
 
 # ------------------------------------------------------------------ runtime contradictions and merge
 
+def _runtime(spark, d, settings=Settings()):
+    """(registry, facts of spans with an agent, runtime contradictions)."""
+    registry, facts = derived.registry(spark, d), _facts(spark, d).stored()
+    subjects = runtime_rules.subjects(registry.agents, _declared(registry))
+    return registry, facts, runtime_rules.detect(subjects, facts.given(), settings)
+
+
 @query
 def rt_contradictions(spark, d):
-    agents = derived.registry_agents(spark, d)
-    return runtime_rules.detect(agents, _declared(spark, d), _known_spans(spark, d), SUPPRESS).select(
+    return _runtime(spark, d, SUPPRESS)[2].select(
         "rule_id", "agent_id", "path", "line", "severity", "confidence", "snippet", "fingerprint", "suppressed", "ref_span", "declared_key")
 
 
 @query
 def merge_liveness(spark, d):
-    agents = derived.registry_agents(spark, d)
-    e = runtime_merge.enrich(agents, S.summarize(_known_spans(spark, d)))
+    e = runtime_merge.enrich(derived.registry_agents(spark, d), S.summarize(_facts(spark, d).given()))
     return e.select("id", "liveness_state", "span_count", "approval_rate", "evidence_quality")
 
 
 @query
 def merge_coverage(spark, d):
-    agents = derived.registry_agents(spark, d)
-    c = S.classify(derived.spans(spark, d), agents)
-    known = _known_spans(spark, d)
-    row = runtime_merge.coverage(agents, S.summarize(known), c, runtime_rules.detect(agents, _declared(spark, d), known))
+    """The registry lacks every tenth agent, so that spans without one exist."""
+    registry, facts = derived.registry(spark, d), _facts(spark, d).stored()
+    rt = runtime_rules.detect(runtime_rules.subjects(registry.known, _declared(registry)), facts.given())
+    row = runtime_merge.coverage(registry.known, S.summarize(facts.given()), S.classify(facts, registry.known), rt)
     return row.select("agents_total", "agents_covered", "span_count", "unmatched_agents", "rt_findings", S.iso(F.col("start_at")).alias("start_ts"),
                       S.iso(F.col("end_at")).alias("end_ts"), "quality_content", "quality_mixed", "quality_redacted")
 
 
 def _scored(spark, d):
-    agents = derived.registry_agents(spark, d)
-    return agents, dimensions.assess(agents, derived.registry_findings(agents))
+    registry = derived.registry(spark, d)
+    return registry, dimensions.assess(registry.agents, registry.findings)
 
 
 def _overlaid(spark, d):
-    _, assessment = _scored(spark, d)
-    sp = _known_spans(spark, d)
-    return dimensions.overlay_runtime(assessment, S.summarize(sp), dimensions.model_stats(sp), _declared(spark, d))
+    registry, assessment = _scored(spark, d)
+    facts = _facts(spark, d).given().stored()
+    return dimensions.overlay_runtime(assessment, S.summarize(facts), dimensions.model_stats(S.value_counts(facts, ["model"])), _declared(registry))
 
 
 @query
@@ -231,32 +246,34 @@ def dimension_group_rollup(spark, d):
 
 @query
 def unclassified_findings(spark, d):
-    agents = derived.registry_agents(spark, d)
-    rt = runtime_rules.detect(agents, _declared(spark, d), _known_spans(spark, d)).select(
-        "rule_id", "agent_id", "fingerprint", "suppressed", F.lit(None).cast("string").alias("variant"))
-    both = derived.registry_findings(agents).select(*rt.columns).unionByName(rt)
+    registry, _, found = _runtime(spark, d)
+    rt = found.select("rule_id", "agent_id", "fingerprint", "suppressed", F.lit(None).cast("string").alias("variant"))
+    both = registry.findings.select(*rt.columns).unionByName(rt)
     return dimensions.unclassified(both).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def exposure_scores(spark, d):
-    agents = derived.registry_agents(spark, d)
-    s = exposure.score(exposure.with_severity(agents, derived.registry_findings(agents)))
+    registry = derived.registry(spark, d)
+    agents = registry.agents
+    s = exposure.score(exposure.with_severity(agents, registry.findings))
     return s.select("id", "highest_severity", "exposure_score", "exposure_tier", "is_high_exposure")
 
 
 @query
 def exposure_rank_topk(spark, d):
-    agents = derived.registry_agents(spark, d)
-    s = exposure.score(exposure.with_severity(agents, derived.registry_findings(agents)))
+    registry = derived.registry(spark, d)
+    agents = registry.agents
+    s = exposure.score(exposure.with_severity(agents, registry.findings))
     return exposure.ranked(s, 25).select("id", "path", "exposure_score")
 
 
 @query
 def registry_summary(spark, d):
     """The summary block of a registry, with one file for each path that has an agent."""
-    agents = derived.registry_agents(spark, d)
-    f = derived.registry_findings(agents).withColumn("is_new", F.col("line") % 4 == 0)
+    registry = derived.registry(spark, d)
+    agents = registry.agents
+    f = registry.findings.withColumn("is_new", F.col("line") % 4 == 0)
     return exposure.registry_summary(agents.select("path").distinct(), agents, f)
 
 
@@ -282,25 +299,26 @@ def sarif_rules(spark, d):
 
 @query
 def severity_counts(spark, d):
-    agents = derived.registry_agents(spark, d)
-    f = derived.registry_findings(agents).withColumn("is_new", F.col("line") % 4 == 0)
+    registry = derived.registry(spark, d)
+    agents = registry.agents
+    f = registry.findings.withColumn("is_new", F.col("line") % 4 == 0)
     return exposure.severity_counts(f)
 
 
 @query
 def gate(spark, d):
-    agents = derived.registry_agents(spark, d)
-    f = derived.registry_findings(agents).withColumn("is_new", F.col("line") % 4 == 0)
+    registry = derived.registry(spark, d)
+    agents = registry.agents
+    f = registry.findings.withColumn("is_new", F.col("line") % 4 == 0)
     return findings.gate(f, GATE, diff_available=True)
 
 
 # ------------------------------------------------------------------ graph
 
 def _graph(spark, d):
-    agents = derived.registry_agents(spark, d)
-    f = derived.registry_findings(agents)
-    agents = exposure.with_severity(agents, f)
-    return agents, f, graph.nodes(agents), graph.edges(agents, f)
+    registry = derived.registry(spark, d)
+    agents = exposure.with_severity(registry.agents, registry.findings)
+    return agents, registry.findings, graph.nodes(agents), graph.edges(agents, registry.findings)
 
 
 @query
@@ -328,8 +346,8 @@ def graph_node_severity(spark, d):
 @query
 def graph_overlay(spark, d):
     agents, _, nodes, edges = _graph(spark, d)
-    sp = _known_spans(spark, d)
-    return graph.overlay_runtime(edges, nodes, agents, S.value_counts(sp, dims=["capability", "integration"]), S.delegations(sp))
+    facts = _facts(spark, d).given().stored()
+    return graph.overlay_runtime(edges, nodes, agents, S.value_counts(facts, dims=["capability", "integration"]), S.delegations(facts))
 
 
 @query
@@ -339,8 +357,7 @@ def graph_focus(spark, d):
 
 @query
 def delegation_reach(spark, d):
-    sp = _given(derived.spans(spark, d))
-    edges = S.delegations(sp).select(F.col("agent_id").alias("source"), F.col("to_agent_id").alias("target"))
+    edges = S.delegations(_facts(spark, d).given()).select(F.col("agent_id").alias("source"), F.col("to_agent_id").alias("target"))
     seeds = edges.join(edges.select(F.col("target").alias("source")), "source", "left_anti").select(F.col("source").alias("id"))
     return graph.reach(edges, seeds)
 
@@ -349,7 +366,7 @@ def delegation_reach(spark, d):
 
 @query
 def declared_validated(spark, d):
-    v = _declared(spark, d)
+    v = declarations.valid_declared(derived.declared(spark, d))
     return v.select("agent_id", "users", "production_status", "autonomy_intent", _joined("data_classes").alias("data_classes"),
                     F.col("economic_authority.max_per_action.amount").alias("max_per_action"))
 
@@ -361,25 +378,26 @@ def declared_warnings(spark, d):
 
 @query
 def decl_contradictions(spark, d):
-    agents = derived.registry_agents(spark, d)
-    return contradictions.detect(agents, _declared(spark, d), derived.registry_findings(agents)).select(
+    """The registry lacks every tenth agent and the declarations every fourth, so that stale and undeclared ids exist."""
+    registry = derived.registry(spark, d)
+    return contradictions.detect(registry.known, _declared(registry), derived.registry_findings(registry.known)).select(
         "rule_id", "agent_id", "path", "line", "severity", "snippet", "fingerprint", "declared_key")
 
 
 @query
 def assurance_long(spark, d):
-    agents = derived.registry_agents(spark, d)
-    f = derived.registry_findings(agents)
-    summary = S.summarize(_known_spans(spark, d))
-    packet = assurance.agent_areas(agents, f, _declared(spark, d), dimensions.assess(agents, f), summary)
+    registry = derived.registry(spark, d)
+    summary = S.summarize(_facts(spark, d).given())
+    packet = assurance.agent_areas(registry.agents, registry.findings, _declared(registry), dimensions.assess(registry.agents, registry.findings), summary)
     return packet.select("area", "agent_id", "field", "status")
 
 
 @query
 def assurance_contradictions(spark, d):
-    agents = derived.registry_agents(spark, d)
-    decl = contradictions.detect(agents, _declared(spark, d), derived.registry_findings(agents))
-    rt = runtime_rules.detect(agents, _declared(spark, d), _known_spans(spark, d), SUPPRESS)
+    """As decl_contradictions, over a registry that lacks every tenth agent."""
+    registry, facts = derived.registry(spark, d), _facts(spark, d).given().stored()
+    decl = contradictions.detect(registry.known, _declared(registry), derived.registry_findings(registry.known))
+    rt = runtime_rules.detect(runtime_rules.subjects(registry.known, _declared(registry)), facts, SUPPRESS)
     both = decl.select("rule_id", "path", "line", "severity", "suppressed").unionByName(rt.select("rule_id", "path", "line", "severity", "suppressed"))
     return assurance.open_contradictions(both)
 
@@ -484,8 +502,9 @@ def snapshot_diff_summary(spark, d):
 
 def _finding_snapshots(spark, d):
     """Findings before and after: those of every registry agent, with some appearing and some going."""
-    agents = derived.registry_agents(spark, d)
-    f = derived.registry_findings(agents)
+    registry = derived.registry(spark, d)
+    agents = registry.agents
+    f = registry.findings
     key = F.col("line") * 7 + F.length("rule_id") * 3
     return f.where(key % 5 != 0), f.where(key % 5 != 1)
 
@@ -746,8 +765,9 @@ def sarif_rows(spark, d):
 
 @query
 def summary_table(spark, d):
-    agents = derived.registry_agents(spark, d)
-    f = derived.registry_findings(agents).withColumn("is_new", F.col("line") % 4 == 0)
+    registry = derived.registry(spark, d)
+    agents = registry.agents
+    f = registry.findings.withColumn("is_new", F.col("line") % 4 == 0)
     return sinks.summary_table(exposure.score(exposure.with_severity(agents, f)), f)
 
 

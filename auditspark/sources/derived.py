@@ -5,11 +5,15 @@ Every view is a projection or a join of whole tables, so work on it grows with t
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark import fixed_values as fv
 from auditspark.functions.levels import mapped, string_array
+from auditspark.operators.spans import LINES
+from auditspark.session import cut_lineage
 from auditspark.sources.traces import with_times
 
 CAPABILITIES = list(fv.CAPABILITY_PATTERNS)
@@ -56,6 +60,7 @@ def spans_of(events: DataFrame) -> DataFrame:
     return with_times(e.select(
         F.format_string("trace-%06d.jsonl", (F.col("event_id") / 1000).cast("long")).alias("trace_file"),
         (F.col("event_id") % 1000 + 2).alias("trace_line"),
+        ((F.col("event_id") / 1000).cast("long") * LINES + F.col("event_id") % 1000 + 2).alias("ord"),
         F.concat(F.lit("t"), uid, F.lit("-"), F.dayofmonth("ts")).alias("trace_id"),
         F.concat(F.lit("s"), F.col("event_id")).alias("span_id"),
         F.lit(None).cast("string").alias("parent_span_id"),
@@ -80,10 +85,16 @@ def spans_of(events: DataFrame) -> DataFrame:
     ))
 
 
-def split_at_cutoff(spans_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(baseline window, current window)."""
-    cut = F.to_timestamp(F.lit(CUTOFF))
-    return spans_.where(F.col("start_at") < cut), spans_.where(F.col("start_at") >= cut)
+def locate(df: DataFrame, name: str) -> DataFrame:
+    """The file, line and span_id that an ordinal stands for, by the arithmetic of spans_of()."""
+    file, line = F.floor(F.col(name) / LINES).cast("long"), F.pmod(F.col(name), F.lit(LINES))
+    return df.withColumns({"file": F.when(F.col(name).isNotNull(), F.format_string("trace-%06d.jsonl", file)), "line": line,
+                           "span_id": F.concat(F.lit("s"), (file * 1000 + line - 2).cast("string"))}).drop(name)
+
+
+def is_now() -> Column:
+    """Whether a span lies in the current window, not in the baseline."""
+    return F.col("start_at") >= F.to_timestamp(F.lit(CUTOFF))
 
 
 def _chosen(values: list[str], key: Column, a: int, b: int, mod: int, below: int) -> Column:
@@ -92,11 +103,38 @@ def _chosen(values: list[str], key: Column, a: int, b: int, mod: int, below: int
         F.when((key * a + i * b) % mod < below, F.lit(v)) for i, v in enumerate(values)]))
 
 
+@dataclass(frozen=True)
+class Registry:
+    """Agents, what was declared of some of them, and the agents' findings, all from one read of ``customer``."""
+
+    agents: DataFrame
+    declared: DataFrame
+
+    @property
+    def findings(self) -> DataFrame:
+        return registry_findings(self.agents)
+
+    @property
+    def known(self) -> DataFrame:
+        """The agents that spans are held against where unknown ids are the point: every tenth is missing."""
+        return self.agents.where(F.substring("id", 2, 20).cast("long") % 10 != 9)
+
+
+def registry(spark: SparkSession, sf_dir: str) -> Registry:
+    """Stored once: every customer is an agent; three of four are declared, so that undeclared ones exist."""
+    both = cut_lineage(table(spark, sf_dir, "customer").select(
+        F.struct(*_agent_columns()).alias("agent"), F.when(F.col("c_custkey") % 4 != 3, F.struct(*_declared_columns())).alias("declared")))
+    return Registry(both.select("agent.*"), both.where(F.col("declared").isNotNull()).select("declared.*"))
+
+
 def registry_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A registry of agents from ``customer``: every tenth customer is not in it."""
+    """Every customer as an agent of a registry."""
+    return table(spark, sf_dir, "customer").select(*_agent_columns())
+
+
+def _agent_columns() -> list[Column]:
     c = F.col("c_custkey")
-    cust = table(spark, sf_dir, "customer").where(c % 10 != 9)
-    return cust.select(
+    return [
         F.concat(F.lit("a"), c).alias("id"), F.concat(F.lit("agent_"), c).alias("name"),
         F.concat(F.lit("c"), c).alias("symbol"),
         F.concat(F.lit("svc/m"), c % 40, F.lit("/c"), c, F.lit(".py")).alias("path"),
@@ -110,7 +148,7 @@ def registry_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
         _chosen(list(fv.CONTROL_DIMENSIONS), c, 5, 3, 6, 2).alias("controls"),
         pick(["recommend_only", "human_approved", "bounded_autonomous", "unrestricted_autonomous", "indeterminate"], c % 5).alias("autonomy_level"),
         (c % 15 == 3).alias("has_bounding"),
-    )
+    ]
 
 
 def registry_findings(agents: DataFrame) -> DataFrame:
@@ -138,14 +176,18 @@ def registry_findings(agents: DataFrame) -> DataFrame:
 
 
 def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw declarations from ``customer``; some values are outside the vocabularies on purpose."""
+    """Raw declarations of three customers in four; some values are outside the vocabularies on purpose."""
+    return table(spark, sf_dir, "customer").where(F.col("c_custkey") % 4 != 3).select(*_declared_columns())
+
+
+def _declared_columns() -> list[Column]:
     c, bal = F.col("c_custkey"), F.col("c_acctbal")
     currency = F.when(c % 10 == 7, "EUR").otherwise("USD")
     econ = F.when(bal > 0, F.struct(
         F.struct((bal / 100).alias("amount"), currency.alias("currency")).alias("max_per_action"),
         F.struct((bal / 20).alias("amount"), currency.alias("currency")).alias("daily_aggregate"),
         F.lit(None).cast("struct<amount:double,currency:string>").alias("worst_case_customer_loss")))
-    return table(spark, sf_dir, "customer").where(c % 4 != 3).select(
+    return [
         F.concat(F.lit("a"), c).alias("agent_id"), F.col("c_name").alias("name"),
         F.concat(F.lit("team-"), F.col("c_nationkey")).alias("owner"),
         F.when(c % 6 != 0, F.concat(F.lit("serves "), F.lower("c_mktsegment"))).alias("purpose"),
@@ -155,7 +197,7 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
         mapped(F.col("c_mktsegment"), SEGMENT_INTENT).alias("autonomy_intent"),
         _chosen(fv.DATA_CLASSES + ["secrets"], c, 3, 5, 4, 1).alias("data_classes"),
         econ.alias("economic_authority"),
-    )
+    ]
 
 
 def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

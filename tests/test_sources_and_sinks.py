@@ -45,15 +45,15 @@ def test_trace_reader(spark, trace_dir):
 
 def test_span_summary_and_refs(spark, trace_dir):
     sp = traces.spans(traces.read_lines(spark, trace_dir))
-    mine = sp.where("agent_id = 'a1'")
+    facts = S.facts(sp).stored()
+    mine = S.Facts(facts.table.where("agent_id = 'a1'"), facts.located)
     s = S.summarize(mine).first()
     assert (s.high_impact_actions, s.high_impact_approved, s.approval_rate, s.max_amount) == (2, 1, 0.5, 5.0)
-    assert S.first_unapproved(mine).first().span_id == "s1"
-    assert S.max_amount_spans(mine).first().span_id == "s1"  # the earliest wins a tie
+    assert S.first_unapproved(mine).first()[1:] == ("a.jsonl", 2, "s1")
+    assert S.max_amount_spans(mine).first()[1:] == (5.0, "USD", "a.jsonl", 2, "s1")  # the earliest wins a tie
     assert S.amount_totals(mine).first().total == 10.0
     agents = spark.createDataFrame([("x1", "n", "Run", "svc/z.py"), ("x2", "n", "q", "svc/pay.py"), ("x3", "n", "q", "svc/b.py")], "id string, name string, symbol string, path string")
-    c = S.classify(sp, agents)
-    keys = c.where("agent_id is null").select("key")
+    keys = S.classify(facts, agents).rows("span").where("agent_id is null").select("key")
     assert {r.agent_id for r in S.suggested_matches(keys, agents).collect()} == {"x1", "x2"}
 
 
