@@ -100,19 +100,22 @@ def facts(spans: DataFrame, located: Locate | None = None, now: Column | None =
     currency = F.when(amount.isNotNull(), F.coalesce(_filled(F.col("amount.currency")), F.lit("USD")))
     fields = {"span": F.lit(""), **{d: _filled(F.col(d)) for d in COUNTED}, "currency": currency,
               "delegate": F.when(F.col("kind") == "delegation", _filled(F.col("to_agent_id")))}
-    pairs = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(d).alias("dim"), v.alias("value"))) for d, v in fields.items()])
     # the amount to a millionth before the ordinal, which the earliest span wins
     scaled = F.greatest(F.lit(-1e13), F.least(F.lit(1e13), amount)).cast("decimal(20,6)").cast("decimal(26,6)") * F.lit(10**6).cast("decimal(7,0)")
     largest = scaled.cast("decimal(20,0)") * F.lit(ORDINALS).cast("decimal(19,0)") + (F.lit(ORDINALS - 1) - F.col("ord")).cast("decimal(19,0)")
     flat = spans.select(
         agent.alias("agent_id"), F.when(agent.isNull(), hint).alias("hint"), (F.lit(True) if now is None else now).alias("is_now"),
         (status == "error").alias("error"), high.alias("high"), (high & is_approved()).alias("approved"),
-        F.when(F.col("redaction") == "redacted", 1).when(F.col("redaction") == "content", 2).otherwise(0).alias("text"),
+        (F.col("redaction") == "redacted").alias("redacted"), (F.col("redaction") == "content").alias("content"),
         "start_at", "end_at", amount.cast("double").alias("amount"), amount.cast("decimal(24,4)").alias("sum"), largest.alias("largest"), "ord",
-        F.explode(F.array_compact(pairs)).alias("p"))
-    return Facts(flat.groupBy("agent_id", "hint", "is_now", F.col("p.dim").alias("dim"), F.col("p.value").alias("value")).agg(
+        *(v.alias(f"d_{d}") for d, v in fields.items()))
+    # all of that is computed once a span, below the generator
+    measures = [c for c in flat.columns if not c.startswith("d_")]
+    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(f"d_{d}").alias("value")) for d in fields])
+    flat = flat.select(*measures, F.inline(pairs)).where(F.col("value").isNotNull())
+    return Facts(flat.groupBy("agent_id", "hint", "is_now", "dim", "value").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("error").alias("errors"), F.count_if("high").alias("high"), F.count_if("approved").alias("approved"),
-        F.max((F.col("text") == 1).cast("int")).alias("redacted"), F.max((F.col("text") == 2).cast("int")).alias("content"),
+        F.max(F.col("redacted").cast("int")).alias("redacted"), F.max(F.col("content").cast("int")).alias("content"),
         F.min("start_at").alias("first_at"), F.max("end_at").alias("last_at"), F.max("amount").alias("max_amount"), F.sum("sum").alias("total"),
         F.max("largest").alias("largest"), F.min("ord").alias("first"), F.min(F.when(F.col("high") & ~F.col("approved"), F.col("ord"))).alias("first_unapproved"),
     ), located)
