@@ -42,6 +42,9 @@ def write_baseline(behaviour: Behaviour, folder: str) -> None:
     (behaviour.summary.select("agent_id", "span_count", "approval_rate", F.lit(BASELINE_SCHEMA).alias("schema"))
      .write.mode("overwrite").parquet(f"{folder}/summary"))
     behaviour.counts.write.mode("overwrite").parquet(f"{folder}/counts")
+    for name, table in (("totals", behaviour.totals), ("max_amounts", behaviour.max_amounts)):
+        if table is not None:
+            table.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def check_version(schema: str) -> None:
@@ -57,7 +60,7 @@ def read_baseline(spark: SparkSession, folder: str) -> Behaviour:
     versions = summary.select("schema").distinct().take(2)
     for row in versions:
         check_version(row["schema"])
-    return Behaviour(summary, spark.read.parquet(f"{folder}/counts"))
+    return Behaviour(summary, *(spark.read.parquet(f"{folder}/{name}") for name in ("counts", "totals", "max_amounts")))
 
 
 EVENT_COLUMNS = {

@@ -88,9 +88,10 @@ def test_feeds(spark, tmp_path):
 
 
 def test_baseline_round_trip_and_version(spark, trace_dir, tmp_path):
-    b = drift.Behaviour.of(traces.spans(traces.read_lines(spark, trace_dir)).where("agent_id is not null"))
+    b = drift.Behaviour.of(S.facts(traces.spans(traces.read_lines(spark, trace_dir))).given().stored())
     drift.write_baseline(b, str(tmp_path / "base"))
     again = drift.read_baseline(spark, str(tmp_path / "base"))
+    assert sorted(again.totals.collect()) == sorted(b.totals.collect()) and again.max_amounts.count() == b.max_amounts.count() > 0
     events = drift.compute_drift(b, again)
     assert events.count() == 0
     assert drift.summarize_events(events).first().max_class == "none"
