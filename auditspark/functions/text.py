@@ -6,9 +6,9 @@ Everything here is built from Spark SQL functions and stays in the JVM.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark import fixed_values as fv
@@ -20,17 +20,51 @@ def jre(pattern: str) -> str:
     return "(?dU)" + pattern
 
 
+def ascii_jre(pattern: str) -> str:
+    """The same for plain ASCII text, where classes and cases mean the same without Unicode tables."""
+    return "(?d)" + pattern
+
+
+def _run(text: Column | Doc, pattern: str, use) -> Column:
+    """*use*(pattern) in the dialect that fits the text."""
+    if not isinstance(text, Doc):
+        return use(jre(pattern))
+    return F.when(text.ascii, use(ascii_jre(pattern))).otherwise(use(jre(pattern)))
+
+
 @dataclass(frozen=True)
 class Doc:
-    """A text with its lower-case form and whether it is plain ASCII, computed once per row."""
+    """A text, whether it is plain ASCII, and which of some literals it holds, found in one scan of its lower-case form."""
 
     text: Column
-    low: Column
     ascii: Column
+    hits: Column
+    literals: tuple[str, ...] = ()
+    wanted: set[str] = field(default_factory=set)
 
     @staticmethod
-    def fields(text: Column) -> Column:
-        return F.struct(text.alias("text"), F.lower(text).alias("low"), (F.length(text) == F.octet_length(text)).alias("ascii"))
+    def columns(text: Column, literals: tuple[str, ...]) -> list[Column]:
+        """_ascii and _hits: the literals of the text. Of those that begin at one place the longest is listed, which tells of the others."""
+        found = F.regexp_extract_all(F.lower(text), F.lit(f"(?=({any_of(literals)}))"), F.lit(1)) if literals else F.array().cast("array<string>")
+        return [(F.length(text) == F.octet_length(text)).alias("_ascii"), F.array_distinct(found).alias("_hits")]
+
+
+def any_of(words) -> str:
+    """The words as one pattern that shares their beginnings and prefers the longest."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        parts = [re.escape(c) + written(child) for c, child in sorted(node.items()) if c]
+        if not parts:
+            return ""
+        return f"(?:{'|'.join(parts)})?" if "" in node else parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return written(tree)
 
 
 def raw(text: Column | Doc) -> Column:
@@ -42,40 +76,42 @@ def may_match(text: Column | Doc, pattern: str) -> Column | None:
 
     Lower-casing is exact for ASCII only, so any other text passes.
     """
-    literals = needles(pattern) if isinstance(text, Doc) else None
-    if not literals:
+    wanted = needles(pattern) if isinstance(text, Doc) else None
+    if not wanted:
         return None
-    hit = ~text.ascii
-    for literal in literals:
-        hit = hit | text.low.contains(literal)
-    return hit
+    text.wanted.update(wanted)
+    telling = [h for h in text.literals if h.startswith(wanted)]
+    if not telling:
+        return ~text.ascii
+    # one folded literal instead of a column for each word
+    return ~text.ascii | F.arrays_overlap(text.hits, F.split(F.lit("\x01".join(telling)), "\x01"))
 
 
 def matches(text: Column | Doc, pattern: str) -> Column:
-    found = raw(text).rlike(jre(pattern))
+    found = _run(text, pattern, raw(text).rlike)
     guard = may_match(text, pattern)
     return found if guard is None else guard & found
 
 
 def count(text: Column | Doc, pattern: str) -> Column:
     guard = may_match(text, pattern)
-    n = F.regexp_count(raw(text), F.lit(jre(pattern)))
+    n = _run(text, pattern, lambda p: F.regexp_count(raw(text), F.lit(p)))
     return n if guard is None else F.when(guard, n).otherwise(F.lit(0))
 
 
 def first_index(text: Column | Doc, pattern: str) -> Column:
     """1-based position of the first match, 0 when there is none."""
-    return F.regexp_instr(raw(text), F.lit(jre(pattern)))
+    return _run(text, pattern, lambda p: F.regexp_instr(raw(text), F.lit(p)))
 
 
 def all_matches(text: Column | Doc, pattern: str, group: int = 0) -> Column:
-    found = F.regexp_extract_all(raw(text), F.lit(jre(pattern)), F.lit(group))
+    found = _run(text, pattern, lambda p: F.regexp_extract_all(raw(text), F.lit(p), F.lit(group)))
     guard = may_match(text, pattern)
     return found if guard is None else F.when(guard, found).otherwise(F.array().cast("array<string>"))
 
 
 def extract(text: Column | Doc, pattern: str, group: int) -> Column:
-    return F.regexp_extract(raw(text), jre(pattern), group)
+    return _run(text, pattern, lambda p: F.regexp_extract(raw(text), p, group))
 
 
 def newlines(text: Column) -> Column:
@@ -181,15 +217,19 @@ def entity_id(path: Column, symbol: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", path, symbol), 256), 1, 12)
 
 
-def per_text(text: Column, build, keep: str | None = None) -> Column:
-    """A generator over one struct built from the text, or none when its *keep* field is false.
+def with_text(df: DataFrame, name: str, build, content: str = "content") -> DataFrame:
+    """*df* with column *name*, built from a Doc of its text.
 
-    A bundle of many pattern tests does not fit into one generated method, so it runs as a lambda
-    over a one-element array. Used as a generator, the filter on the struct stays next to it and the
-    tests are never evaluated twice.
+    The literals of all patterns that *build* asks for are looked for in one scan; then only patterns whose literals are
+    there run, as compiled columns. The column comes out of a generator, so that a filter on it is not
+    moved below, where everything would be computed again.
     """
-    built = F.transform(F.array(Doc.fields(text)), lambda d: build(Doc(d["text"], d["low"], d["ascii"])))
-    return F.explode(built if keep is None else F.filter(built, lambda s: F.coalesce(s[keep], F.lit(False))))
+    doc = Doc(F.col(content), F.col("_ascii"), F.col("_hits"))
+    build(doc)
+    literals = tuple(sorted(doc.wanted))
+    scanned = df.select("*", *Doc.columns(F.col(content), literals))
+    built = scanned.withColumn("_built", build(Doc(F.col(content), F.col("_ascii"), F.col("_hits"), literals)))
+    return built.select(*df.columns, F.explode(F.array("_built")).alias(name))
 
 
 def flags(text: Column | Doc, patterns: dict[str, str]) -> Column:
