@@ -1,9 +1,9 @@
 """Ranked lexical search by bit-sliced Bloom signatures, exact.
 
-Index: the documents of an Arrow batch are grouped by how many entries they make in a filter. A group is a bit matrix with a
+Index: some thousand documents at a time are grouped by how many entries they make in a filter. A group is a bit matrix with a
 row (slice) for each place of a Bloom filter and a column for each document: a term that occurs t times sets its
 HASHES slices once for every threshold of LEVELS up to t. The index also holds each document's length, largest count
-and key (doc_id and hash of the text), and how many documents of the batch hold each term.
+and key (doc_id and hash of the text), and how many of those documents hold each term.
 
 Search: the AND of a term's slices tells in which documents it may occur, and how often at most; it errs on one side
 only. Weighted sums of the slices bound every document's score from above. The TRIED * K documents of highest bound are scored
@@ -41,7 +41,8 @@ TRIED = 4
 LEVELS = np.array([1, 2, 3, 4, 6, 10, 20, 50])
 #: Places for each entry that a group's documents may make (half of them at least are made), and slices that an entry sets.
 PLACES, HASHES = 16, 6
-#: Entries that are set at a time.
+#: Documents that are grouped together, documents that are rescored at a time, and entries that are set at a time.
+DOCS, RESCORED = 4000, 200
 ENTRIES = 100_000
 #: Items in a block of queries.
 ITEMS = 64
@@ -89,48 +90,50 @@ def index(docs: DataFrame, n_slots: int) -> DataFrame:
     names = [x.split()[0] for x in _INDEX.split(", ")]
 
     def built(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = []
-            for a, b in ta.parts(texts):
-                terms, doc = term_hashes(texts[a:b])
-                if len(terms):
-                    key = ta.pairs(terms, doc)
-                    order = np.argsort(key)
-                    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-                    at = order[first]
-                    found.append((terms[at], doc[at] + a, np.diff(first, append=len(key))))
-            if not found:
-                continue
-            terms, doc, times = (np.concatenate(x) for x in zip(*found))
-            n = batch.num_rows
-            set_, length = np.bincount(doc, np.searchsorted(LEVELS, times, "right"), n), np.bincount(doc, times, n).astype(np.int32)
-            most = np.zeros(n, np.int32)
-            np.maximum.at(most, doc, times.astype(np.int32))
-            order = np.argsort(doc, kind="stable")
-            terms, doc, times = terms[order], doc[order], times[order]
-            keys, ids = batch.column("key").to_numpy(), batch.column("doc_id")
-            uniq, counts = np.unique(terms, return_counts=True)
-            slot = int(uniq[0] % np.uint64(n_slots))
-            yield _row(names, kind_, kind="t", slices=uniq.tobytes(), lengths=counts.astype(np.int32).tobytes(), slot=slot)
-            size = np.where(set_ > 0, np.ceil(np.log2(np.maximum(set_, 1))).astype(int), -1)
-            for c in np.unique(size[size >= 0]):
-                places, mine = max(64, PLACES << int(c)), np.flatnonzero(size == c)
-                width = max(8, (16 << 20) // places)  # 16 MB of cells at most, unless eight documents have more
-                for k in range(0, len(mine), width):
-                    part = mine[k:k + width]
-                    new = np.full(n, -1)
-                    new[part] = np.arange(len(part))
-                    inside = np.flatnonzero(new[doc] >= 0)
-                    cells = np.zeros((places, -(-len(part) // 8) * 8), bool)
-                    for level, least in enumerate(LEVELS):
-                        inside = inside[times[inside] >= least]
-                        for i in range(0, len(inside), ENTRIES):
-                            some = inside[i:i + ENTRIES]
-                            cells[slots(terms[some], level, places), new[doc[some]][:, None]] = True
-                    slot = (slot + 1) % n_slots
-                    yield _row(names, kind_, kind="d", places=places, n_docs=len(part), n_terms=int(length[part].sum(dtype=np.int64)), lengths=length[part].tobytes(), most=most[part].tobytes(),
-                               slices=np.packbits(cells, axis=1, bitorder="little").tobytes(), keys=keys[part].tobytes(), ids=ids.take(pa.array(part)), slot=slot)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, DOCS):
+                yield from grouped(whole.slice(begin, DOCS))
+
+    def grouped(batch):
+        texts, n = batch.column("text").to_pylist(), batch.num_rows
+        found = []
+        for a, b in ta.parts(texts):
+            terms, doc = term_hashes(texts[a:b])
+            if len(terms):
+                key = ta.pairs(terms, doc)
+                order = np.argsort(key)
+                first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+                at, times = order[first], np.diff(first, append=len(key)).astype(np.int32)
+                by_doc = np.argsort(doc[at], kind="stable")
+                found.append((terms[at][by_doc], (doc[at][by_doc] + a).astype(np.int32), times[by_doc]))
+        if not found:
+            return
+        terms, doc, times = (np.concatenate(x) for x in zip(*found))
+        set_, length = np.bincount(doc, np.searchsorted(LEVELS, times, "right"), n), np.bincount(doc, times, n).astype(np.int32)
+        most = np.zeros(n, np.int32)
+        np.maximum.at(most, doc, times)
+        keys, ids = batch.column("key").to_numpy(), batch.column("doc_id")
+        uniq, counts = np.unique(terms, return_counts=True)
+        slot = int(uniq[0] % np.uint64(n_slots))
+        yield _row(names, kind_, kind="t", slices=uniq.tobytes(), lengths=counts.astype(np.int32).tobytes(), slot=slot)
+        size = np.where(set_ > 0, np.ceil(np.log2(np.maximum(set_, 1))).astype(int), -1)
+        for c in np.unique(size[size >= 0]):
+            places, mine = max(64, PLACES << int(c)), np.flatnonzero(size == c)
+            width = max(8, (16 << 20) // places)  # 16 MB of cells at most, unless eight documents have more
+            for k in range(0, len(mine), width):
+                part = mine[k:k + width]
+                new = np.full(n, -1)
+                new[part] = np.arange(len(part))
+                inside = np.flatnonzero(new[doc] >= 0)
+                cells = np.zeros((places, -(-len(part) // 8) * 8), bool)
+                for level, least in enumerate(LEVELS):
+                    inside = inside[times[inside] >= least]
+                    for i in range(0, len(inside), ENTRIES):
+                        some = inside[i:i + ENTRIES]
+                        cells[slots(terms[some], level, places), new[doc[some]][:, None]] = True
+                slot = (slot + 1) % n_slots
+                yield _row(names, kind_, kind="d", places=places, n_docs=len(part), n_terms=int(length[part].sum(dtype=np.int64)), lengths=length[part].tobytes(),
+                           most=most[part].tobytes(), slices=np.packbits(cells, axis=1, bitorder="little").tobytes(), keys=keys[part].tobytes(), ids=ids.take(pa.array(part)), slot=slot)
 
     kind_ = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
     return rows.mapInArrow(built, _INDEX.format(kind))
@@ -244,8 +247,8 @@ def bounds(row: dict, items: list[dict], n_docs: int, n_terms: int) -> np.ndarra
 def candidates(groups: DataFrame, blocks: DataFrame, n_slots: int, n_docs: int, n_terms: int, best: bool) -> DataFrame:
     """item, doc_id, key, bound: a group's K documents of highest bound (*best*), or all whose bound reaches the item's `least`."""
     def found(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
+        for whole in batches:
+            for row in (r for i in range(whole.num_rows) for r in whole.slice(i, 1).to_pylist()):
                 items, keys, ids = row["items"], np.frombuffer(row["keys"], np.int64), row["ids"]
                 total = bounds(row, items, n_docs, n_terms)
                 if best:
@@ -280,7 +283,7 @@ def rescored(docs: DataFrame, pairs: DataFrame, items: DataFrame, n_docs: int, n
     term, lower = re.compile(TERM), str.maketrans({c: c.lower() for c in map(chr, range(0x41, 0x5B))})
 
     def scored(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, RESCORED) for whole in batches for i in range(0, whole.num_rows, RESCORED)):
             out = ([], [], [])
             for doc_id, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "items"))):
                 times = Counter(term.findall(text.translate(lower)))
