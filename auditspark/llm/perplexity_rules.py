@@ -144,8 +144,16 @@ def counted_grams(place: np.ndarray, codes: np.ndarray, owner: np.ndarray | None
         yield table, counts, np.full(len(table), low)
         return
     key = np.zeros(n, np.int64) if owner is None else owner.astype(np.int64) - low
-    for lag in reversed(lagged(rank[codes], place, rank[_BEGIN])):
-        key = (key << bits) | lag
+    here, near = rank.astype(np.int32)[codes], np.flatnonzero(place < ORDER - 1)
+    for j in range(ORDER - 1, -1, -1):  # one lag at a time, to hold few arrays of a part
+        key <<= bits
+        if j:
+            lag = np.empty_like(here)
+            lag[j:] = here[:-j]
+            lag[near[place[near] < j]] = rank[_BEGIN]
+            key |= lag
+        else:
+            key |= here
     key.sort()
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     key, counts = key[first], np.diff(first, append=n)
@@ -285,10 +293,10 @@ class Lookup:
             own = shards.get(kind, [])
             hashes, values = (np.concatenate([np.empty(0, t), *(np.frombuffer(s[i], t) for s in own)]) for i, t in enumerate((np.uint64, np.int32)))
             order = np.argsort(hashes)
-            known, bits = hashes[order], max(4, len(hashes).bit_length() + 1)
+            known, bits = hashes[order], max(4, len(hashes).bit_length() - 1)
             shift = np.uint64(64 - bits)
-            starts = np.searchsorted(known >> shift, np.arange(1 << bits, dtype=np.uint64))
-            self.arrays[kind] = np.append(known, np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(values[order], 0).astype(np.int64), shift, starts
+            starts = np.searchsorted(known >> shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+            self.arrays[kind] = np.append(known, np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(values[order], np.int32(0)), shift, starts
 
     def find(self, kind: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(value or 0, is there one) of each hash."""
