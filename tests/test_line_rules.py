@@ -92,8 +92,13 @@ def test_literal_shortcut_never_hides_a_match(spark):
         "authenticated limiter approved temperature=0.1 logger.info( structlog", "plain prose without anything", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for table in (fv.FRAMEWORK_PATTERNS, fv.PROVIDER_PATTERNS, fv.CAPABILITY_PATTERNS, fv.INTEGRATION_PATTERNS, fv.CONTROL_PATTERNS, fv.PERMISSION_PATTERNS):
-        quick = df.select("t", X.per_text(F.col("t"), lambda d: F.struct(*[X.matches(d, p).alias(n) for n, p in table.items()])).alias("m"))
+        quick = X.with_text(df, "m", lambda d: F.struct(*[X.matches(d, p).alias(n) for n, p in table.items()]), content="t")
         plain = df.select("t", *[F.col("t").rlike(X.jre(p)).alias(n) for n, p in table.items()])
         assert sorted(map(str, (tuple(r["m"]) for r in quick.collect()))) == sorted(map(str, (tuple(r)[1:] for r in plain.collect())))
     assert needles(r"(?i)\bredis\b|kafka") == ("kafka", "redis")
     assert needles(r"\w+") is None
+    words = ("open", "openai", "pen", "ai x", "a.b")
+    assert X.any_of(words) == r"(?:a(?:\.b|i\ x)|open(?:ai)?|pen)"
+    doc = X.Doc(F.col("t"), F.col("_ascii"), F.col("_hits"))
+    found = spark.createDataFrame([("use OpenAI x",), ("a.b axb",), ("é",)], "t string").select(*X.Doc.columns(doc.text, words)).collect()
+    assert [(r._ascii, sorted(r._hits)) for r in found] == [(True, ["ai x", "openai", "pen"]), (True, ["a.b"]), (False, [])]
