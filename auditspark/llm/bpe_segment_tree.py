@@ -3,7 +3,9 @@
 A text is cut at the tokenizer's added tokens and then into pre-tokens by its pattern. The leaves of a pre-token's tree
 hold the ranks of its adjacent pairs; the root tells the leftmost pair of lowest rank. A merge changes three leaves and
 the paths above them, and the pre-token is done when the root holds no rank. A pre-token of n bytes so takes
-O(n log n) steps, however long it is. Results of pre-tokens are kept in a table of bounded size per task.
+O(n log n) steps, however long it is. New pre-tokens of up to 64 bytes have their trees side by side in arrays, one array
+for all trees of a size, and every step merges one pair in each; longer ones have a tree of their own. Results of
+pre-tokens are kept in a table of bounded size per task.
 
 Defined cases: null text is the empty text, which has no ids; every text is encoded whole; repeated rows repeat;
 other columns are ignored.
@@ -24,9 +26,13 @@ from auditspark.llm.common import map_batches, tokenizer_path
 #: The pre-token pattern of byte-level BPE (fixed value); \s is spelled out as Unicode white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]+")
-#: Pre-tokens whose ids a task remembers; the table starts anew when it is full, which changes no result.
+#: Pre-tokens whose ids a task remembers; a full table becomes the older of two, which changes no result.
 CACHE = 200_000
+#: Characters of the texts whose pre-tokens are looked up together (one text at least).
+TOGETHER = 1_000_000
 NONE = 1 << 40
+#: Most leaves of a tree in the arrays, and the entry of a pair there that can't be merged (others are rank * WIDEST + leaf).
+WIDEST, NO_PAIR = 64, 2**31 - 1
 
 
 class PairTree:
@@ -85,6 +91,13 @@ class ByteBpe:
         self.split_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.words = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.base = size
+        made = sorted((a * size + b, rank, new) for (a, b), (rank, new) in self.merges.items())
+        self.pair_keys, self.pair_ranks = (np.array([m[i] for m in made] or [-1], np.int64) for i in (0, 1))
+        self.made_by = np.zeros(len(made), np.int32)
+        self.made_by[self.pair_ranks[:len(made)]] = [m[2] for m in made]
+        self.first_ids = np.array(self.first, np.int32)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -112,26 +125,100 @@ class ByteBpe:
                 tree.set(h, found((ids[h], ids[i]), (NONE,))[0])
         return [x for x in ids if x >= 0]
 
-    def _plain(self, text: str) -> bytes:
-        known, out = self.known, []
-        for word in self.words.findall(text):
-            got = known.get(word)
-            if got is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                got = known[word] = np.array(self.merge(word.encode()), "<u4").tobytes()
-            out.append(got)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def _entries(self, left: np.ndarray, right: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Tree entries of pairs: their rank and, to tell the leftmost, their leaf."""
+        key = left.astype(np.int64) * self.base + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at] * WIDEST + leaf, NO_PAIR).astype(np.int32)
+
+    def merge_side_by_side(self, words: list[bytes], size: int) -> list[bytes]:
+        """Ids of pre-tokens of at most *size* bytes, a power of two; row i of every array belongs to words[i]."""
+        n, lengths = len(words), np.array([len(w) for w in words])
+        place = np.arange(size)
+        ids = self.first_ids[np.frombuffer(b"".join(w.ljust(size, b"\0") for w in words), np.uint8)].reshape(n, size)
+        after = np.tile(np.arange(1, size + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, size, dtype=np.int32), (n, 1))
+        nodes = np.full((n, 2 * size), NO_PAIR, np.int32)
+        pairs = self._entries(ids[:, :-1], ids[:, 1:], place[:-1])
+        nodes[:, size:-1] = np.where(place[1:] < lengths[:, None], pairs, NO_PAIR)
+        width = size
+        while width > 1:
+            nodes[:, width // 2:width] = np.minimum(nodes[:, width:2 * width:2], nodes[:, width + 1:2 * width:2])
+            width //= 2
+        rows = np.flatnonzero(nodes[:, 1] != NO_PAIR)
+        while len(rows):
+            low = nodes[rows, 1]
+            i, new = low % WIDEST, self.made_by[low // WIDEST]
+            j = after[rows, i]
+            k, h = after[rows, j], before[rows, i]
+            ids[rows, i], ids[rows, j] = new, -1
+            after[rows, i], before[rows, k] = k, i
+            right = np.where(k < lengths[rows], self._entries(new, ids[rows, np.minimum(k, size - 1)], i), NO_PAIR)
+            left = np.where(h >= 0, self._entries(ids[rows, h], new, h), right)
+            paths = [size + j, size + i, size + np.where(h >= 0, h, i)]
+            for leaf, entry in zip(paths, (NO_PAIR, right, left)):
+                nodes[rows, leaf] = entry
+            width = size
+            while width > 1:
+                width //= 2
+                for step, at in enumerate(paths):
+                    paths[step] = at = at >> 1
+                    nodes[rows, at] = np.minimum(nodes[rows, 2 * at], nodes[rows, 2 * at + 1])
+            rows = rows[nodes[rows, 1] != NO_PAIR]
+        kept = (ids >= 0) & (place < lengths[:, None])
+        flat, ends = ids[kept].astype("<u4").tobytes(), np.cumsum(kept.sum(axis=1)) * 4
+        return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    def merge_all(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of every pre-token."""
+        out, by_size = {}, {}
+        for word in words:
+            raw = word.encode()
+            if len(raw) > WIDEST:
+                out[word] = np.array(self.merge(raw), "<u4").tobytes()
+            else:
+                by_size.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((word, raw))
+        for size, some in by_size.items():
+            out.update(zip((w for w, _ in some), self.merge_side_by_side([r for _, r in some], size)))
+        return out
+
+    def _table(self, words: set[str]) -> dict[str, bytes]:
+        """A table that holds the ids of all these pre-tokens."""
+        known = self.known
+        missing = words - known.keys()
+        again = {w: self.older[w] for w in missing if w in self.older}
+        known.update(again)
+        known.update(self.merge_all([w for w in missing if w not in again]))
+        if len(known) > CACHE:
+            self.known, self.older = {}, known
+        return known
+
+    def _cut(self, text: str) -> list[list[str] | bytes]:
+        """Runs of pre-tokens, and the ids of the added tokens between them."""
         if self.split_added is None or not any(t in text for t in self.added):
-            return self._plain(text)
+            return [self.words.findall(text)]
         out, at = [], 0
         for m in self.split_added.finditer(text):
-            out += [self._plain(text[at:m.start()]), np.array([self.added[m[0]]], "<u4").tobytes()]
+            out += [self.words.findall(text[at:m.start()]), np.array([self.added[m[0]]], "<u4").tobytes()]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return [*out, self.words.findall(text[at:])]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers."""
+        out, at = [], 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= TOGETHER):
+                chars += len(texts[end])
+                end += 1
+            cuts = [self._cut(t) for t in texts[at:end]]
+            table = self._table({w for cut in cuts for run in cut if isinstance(run, list) for w in run})
+            out += [b"".join(run if isinstance(run, bytes) else b"".join(map(table.__getitem__, run)) for run in cut) for cut in cuts]
+            at = end
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """Bytes that are no UTF-8 become U+FFFD."""
@@ -143,7 +230,7 @@ def encoded(docs: DataFrame, name: str = "byte_bpe_50k.json", with_ids: bool = F
     path = tokenizer_path(name)
 
     def rows(batch: pa.RecordBatch, bpe: ByteBpe) -> pa.RecordBatch:
-        ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+        ids = bpe.encode_all([t or "" for t in batch.column(1).to_pylist()])
         texts = [bpe.decode(x) for x in ids]
         cols = {"doc_id": batch.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]),

@@ -162,6 +162,21 @@ def test_bpe_equals_the_library(docs, awkward, nothing):
     assert bpe.encoded(nothing, with_ids=True).count() == 0
 
 
+
+def test_bpe_trees_of_every_size_equal_the_library_and_the_single_tree(monkeypatch):
+    path = tokenizer_path("byte_bpe_50k.json")
+    library, own, rnd = Tokenizer.from_file(path), bpe.ByteBpe(path), random.Random(4)
+    monkeypatch.setattr(bpe, "CACHE", 300)  # tables change over many times
+    monkeypatch.setattr(bpe, "TOGETHER", 2_000)
+    texts = ["a" * n for n in range(200)] + ["é" * n for n in range(25, 40)] + ["<|endoftext|>x<|endoftext|><|endoftext|>"]
+    texts += ["".join(rnd.choice("abcdeginrst") for _ in range(n)) for n in range(1, 140) for _ in range(5)]
+    texts += [" ".join(rnd.choices(texts, k=3)) for _ in range(200)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    words = [t.encode() for t in texts if 0 < len(t.encode()) <= 64]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.merge_side_by_side(words, 64)] == [own.merge(w) for w in words]
+
+
 def test_edited_counts_equal_a_new_count(awkward, nothing):
     from tokenizers import Tokenizer
 
