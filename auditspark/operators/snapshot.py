@@ -57,7 +57,8 @@ def similar_signatures(base: DataFrame, head: DataFrame, threshold: float = fv.R
     Inputs have (id, hashes). Agents with equal evidence share one signature, so a large group of
     copies is one row here. Candidates meet on the rare end of their sets only: two sets can
     reach the threshold only when they share one of their first n - ceil(t*n) + 1 hashes in
-    rarest-first order, so a hash that everybody has creates no pairs.
+    rarest-first order, so a hash that everybody has creates no pairs. The places of a shared hash bound what
+    two sets can still share from there on; the first hash they share keeps every pair that reaches the threshold.
     """
     sig = lambda df: df.where(F.size("hashes") > 0).select(
         F.array_sort(F.array_distinct("hashes")).alias("set")).distinct().select(
@@ -70,12 +71,14 @@ def similar_signatures(base: DataFrame, head: DataFrame, threshold: float = fv.R
         F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("o"))
     n = F.size("o")
     keep = (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1).cast("int")
-    prefix = ordered.select("side", "sig", n.alias("n"), F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select(
-        "side", "sig", "n", "p.token")
-    left = prefix.where(F.col("side") == "b").select(F.col("sig").alias("base_sig"), F.col("n").alias("nb"), "token")
-    right = prefix.where(F.col("side") == "h").select(F.col("sig").alias("head_sig"), F.col("n").alias("nh"), "token")
+    prefix = ordered.select("side", "sig", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "p")).select(
+        "side", "sig", "n", (F.col("n") - F.col("at")).alias("left"), "p.token")
+    of = lambda side, name, size, rest: prefix.where(F.col("side") == side).select(
+        F.col("sig").alias(name), F.col("n").alias(size), F.col("left").alias(rest), "token")
     close = F.least("nb", "nh") >= F.lit(threshold) * F.greatest("nb", "nh") - F.lit(1e-9)
-    pairs = left.join(right, "token").where(close).select("base_sig", "head_sig").distinct()
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("nb") + F.col("nh")) - F.lit(1e-9)
+    pairs = of("b", "base_sig", "nb", "rest_b").join(of("h", "head_sig", "nh", "rest_h"), "token").where(
+        close & (F.least("rest_b", "rest_h") >= needed)).select("base_sig", "head_sig").distinct()
     common = F.size(F.array_intersect(F.split("base_sig", "\\|"), F.split("head_sig", "\\|")))
     total = F.size(F.split("base_sig", "\\|")) + F.size(F.split("head_sig", "\\|")) - common
     return pairs.withColumn("jaccard", common / total).where(F.col("jaccard") >= threshold)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditspark import fixed_values as fv
 from auditspark.schemas import TRACE_RECORD
+from auditspark.session import cut_lineage
 
 
 def _parsed(raw: DataFrame) -> DataFrame:
@@ -39,10 +40,26 @@ def _major(schema: Column) -> Column:
     return F.when(schema.contains("/"), F.split_part(version, F.lit("."), F.lit(1))).otherwise(F.lit(""))
 
 
+def numbered_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(trace_file, trace_line, text) of all lines; a large file is read as many splits.
+
+    A line's place in its split is how far its row id is from the split's first one, for ids rise by one from row to row
+    of a scan. Lines before a split are a running sum over the counts of the file's splits. Splits may fall differently when a
+    file is scanned again, so places and counts come from one stored scan.
+    """
+    raw = spark.read.format("text").option("lineSep", "\n").option("pathGlobFilter", pattern).load(path)
+    placed = cut_lineage(raw.select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("trace_file"),
+        F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("text")))
+    earlier = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = placed.groupBy("_path", "_split").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines")).select(
+        "_path", "_split", (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return placed.join(splits, ["_path", "_split"]).select("trace_file", (F.col("_row") + F.col("_shift")).alias("trace_line"), "text")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """All trace lines of a folder. Files rotate at 16 MiB, so one file is one row at first."""
-    raw = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.jsonl").load(path)
-    return _parsed(raw)
+    """All trace lines of a folder, parsed."""
+    return parse_lines(numbered_lines(spark, path))
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -58,14 +75,11 @@ def rejected_from(lines: DataFrame) -> DataFrame:
 
     Such a header as the first record drops the whole file; later ones are only ignored.
     """
-    first = lines.groupBy("trace_file").agg(
-        F.min("trace_line").alias("first_line"),
-    )
-    bad = lines.where(
-        F.col("is_object") & (F.col("record.kind") == "header")
-        & ~_major(F.coalesce("record.schema", F.lit(""))).isin("", fv.TRACE_MAJOR)
-    )
-    return bad.join(first, "trace_file").where(F.col("trace_line") == F.col("first_line")).select("trace_file")
+    bad = (F.col("is_object") & F.coalesce(F.col("record.kind") == "header", F.lit(False))
+           & ~_major(F.coalesce("record.schema", F.lit(""))).isin("", fv.TRACE_MAJOR))
+    # the lowest line with the mark as its last bit, so one aggregate over numbers tells whether the first record is bad
+    return lines.groupBy("trace_file").agg(F.min(F.col("trace_line") * 2 + bad.cast("long")).alias("_first")).where(
+        F.col("_first") % 2 == 1).select("trace_file")
 
 
 def typed_spans(lines: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,54 @@ def test_trace_reader(spark, trace_dir):
     assert bad.count() == 3
 
 
+def test_lines_of_many_splits_are_numbered_as_in_one_piece(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    rows = ["" if i % 11 == 0 else f"line {i} é\r " + "x" * (i * 7919 % 90) for i in range(1, 4001)]
+    (tmp_path / "big.jsonl").write_bytes("\n".join(rows).encode())
+    (tmp_path / "end.jsonl").write_bytes(("\n".join(rows[:900]) + "\n").encode())
+    (tmp_path / "none.jsonl").write_bytes(b"")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
+    try:
+        got = traces.numbered_lines(spark, str(tmp_path)).collect()
+        assert spark.read.text(str(tmp_path / "big.jsonl")).select("_metadata.file_block_start").distinct().count() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert sorted((r.trace_file, r.trace_line, r.text) for r in got) == sorted(
+        [("big.jsonl", i, t) for i, t in enumerate(rows, 1)] + [("end.jsonl", i, t) for i, t in enumerate(rows[:900], 1)])
+
+
+def test_hunks_of_one_large_diff_spread_over_blocks(spark):
+    rnd, lines, want, file = random.Random(8), [], [], ""
+    for i in range(3000):
+        kind = rnd.random()
+        if kind < 0.05:
+            file = rnd.choice([f"src/{i}.py", ""])
+            lines.append(f"+++ b/{file}" if file else "+++ /dev/null")
+        elif kind < 0.5:
+            start, n = rnd.randrange(1, 99), rnd.randrange(0, 3)
+            lines.append(f"@@ -1 +{start},{n} @@ def f")
+            if file and n:
+                want.append(("d", file, start, start + n - 1))
+        else:
+            lines.append("+changed")
+    diffs = spark.createDataFrame([("d", "\n".join(lines)), ("e", "@@ -1 +1 @@\n+++ b/q\n@@ -1 +7 @@"), ("n", None), ("z", "")], "diff_id string, text string")
+    for block in (1, 64, 4096):
+        assert sorted(map(tuple, findings.added_ranges(diffs, block).collect())) == sorted([*want, ("e", "q", 7, 7)])
+
+
+def test_similar_sets_equal_all_pairs(spark):
+    rnd = random.Random(9)
+    pool = [f"h{i}" for i in range(14)]
+    make = lambda k: [(f"{k}{i}", rnd.sample(pool, rnd.randint(0, 9))) for i in range(120)]
+    base, head = make("b"), make("h")
+    frame = lambda rows: spark.createDataFrame(rows, "id string, hashes array<string>")
+    for t in (0.5, 0.8, 1.0):
+        sets = lambda rows: {tuple(sorted(set(h))) for _, h in rows if h}
+        want = {("|".join(x), "|".join(y)) for x in sets(base) for y in sets(head) if len({*x} & {*y}) >= t * len({*x} | {*y}) - 1e-12}
+        assert {(r.base_sig, r.head_sig) for r in snapshot.similar_signatures(frame(base), frame(head), t).collect()} == want
+
+
 def test_span_summary_and_refs(spark, trace_dir):
     sp = traces.spans(traces.read_lines(spark, trace_dir))
     facts = S.facts(sp).stored()
