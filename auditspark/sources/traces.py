@@ -20,19 +20,14 @@ def _parsed(raw: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """(trace_file, trace_line, text) -> (trace_file, trace_line, record, is_object) of non-blank lines; record null when malformed."""
-    text = F.trim(F.regexp_replace("text", "^\\s+|\\s+$", ""))
-    return (
-        lines.select("trace_file", "trace_line", text.alias("text"))
-        .where(F.col("text") != "")
-        .select(
-            "trace_file", "trace_line",
-            # only text that parses as a JSON object counts as a record
-            F.when(F.col("text").startswith("{"), F.from_json("text", TRACE_RECORD, {"mode": "PERMISSIVE"})).alias("record"),
-            F.when(F.col("text").startswith("{"),
-                   F.from_json("text", "map<string,string>", {"mode": "PERMISSIVE"}).isNotNull())
-            .otherwise(F.lit(False)).alias("is_object"),
-        )
-    )
+    # a filter on a generated column is not pushed below its generator, so a line is trimmed and parsed at one place only
+    trimmed = lines.select("trace_file", "trace_line", F.explode(F.array(F.btrim("text", F.lit(" \t\n\x0b\f\r")))).alias("text")).where(F.col("text") != "")
+    braced = F.col("text").startswith("{")
+    parsed = F.struct(
+        # only text that parses as a JSON object counts as a record
+        F.when(braced, F.from_json("text", TRACE_RECORD, {"mode": "PERMISSIVE"})).alias("record"),
+        (braced & F.from_json("text", "map<string,string>", {"mode": "PERMISSIVE"}).isNotNull()).alias("is_object"))
+    return trimmed.select("trace_file", "trace_line", F.inline(F.array(parsed)))
 
 
 def _major(schema: Column) -> Column:
