@@ -6,6 +6,8 @@ aggregated once by key, which needs one shuffle and combines map-side.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,31 +59,39 @@ def similar_signatures(base: DataFrame, head: DataFrame, threshold: float = fv.R
     Inputs have (id, hashes). Agents with equal evidence share one signature, so a large group of
     copies is one row here. Candidates meet on the rare end of their sets only: two sets can
     reach the threshold only when they share one of their first n - ceil(t*n) + 1 hashes in
-    rarest-first order, so a hash that everybody has creates no pairs. The places of a shared hash bound what
+    rarest-first order, so a hash that everybody has creates no pairs. Sets also have to be of like size, so they meet within
+    classes of sizes: one of its own or a neighbouring class. The places of a shared hash bound what
     two sets can still share from there on; the first hash they share keeps every pair that reaches the threshold.
+    Sets and hashes go by number: only the pairs that are left meet the sets, only those that reach the threshold the texts.
     """
-    sig = lambda df: df.where(F.size("hashes") > 0).select(
-        F.array_sort(F.array_distinct("hashes")).alias("set")).distinct().select(
-        F.array_join("set", "|").alias("sig"), "set")
-    b, h = sig(base), sig(head)
-    both = b.select(F.lit("b").alias("side"), "sig", "set").unionByName(h.select(F.lit("h").alias("side"), "sig", "set"))
-    tokens = both.select("side", "sig", "set", F.explode("set").alias("token"))
-    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    ordered = tokens.join(freq, "token").groupBy("side", "sig").agg(
-        F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("o"))
+    sig = lambda df, side: df.where(F.size("hashes") > 0).select(
+        F.lit(side).alias("side"), F.array_sort(F.array_distinct(F.array_compact("hashes"))).alias("set")).select(
+        "side", F.array_join("set", "|").alias("sig"), "set").distinct()
+    both = cut_lineage(sig(base, "b").unionByName(sig(head, "h")).withColumn("no", F.monotonically_increasing_id()))
+    tokens = both.select("side", "no", F.explode("set").alias("token"))
+    freq = cut_lineage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).withColumn("t", F.monotonically_increasing_id()))
+    ordered = cut_lineage(tokens.join(freq, "token").groupBy("side", "no").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("freq", "t"))), lambda x: x["t"]).alias("o")))
     n = F.size("o")
     keep = (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1).cast("int")
-    prefix = ordered.select("side", "sig", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "p")).select(
-        "side", "sig", "n", (F.col("n") - F.col("at")).alias("left"), "p.token")
-    of = lambda side, name, size, rest: prefix.where(F.col("side") == side).select(
-        F.col("sig").alias(name), F.col("n").alias(size), F.col("left").alias(rest), "token")
+    # sizes within the threshold of each other lie in one class or in two neighbouring ones
+    width = math.log(1 / threshold) + 1e-6 if 0 < threshold < 1 else 1e-6
+    like = F.floor(F.log(F.col("n").cast("double")) / width) if threshold > 0 else F.lit(0).cast("long")
+    prefix = ordered.select("side", "no", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "t")).select(
+        "side", "no", "n", (F.col("n") - F.col("at")).alias("left"), "t", like.alias("like"))
+    of = lambda side, number, size, rest, classes: prefix.where(F.col("side") == side).select(
+        F.col("no").alias(number), F.col("n").alias(size), F.col("left").alias(rest), "t", classes.alias("like"))
     close = F.least("nb", "nh") >= F.lit(threshold) * F.greatest("nb", "nh") - F.lit(1e-9)
     needed = F.lit(threshold / (1 + threshold)) * (F.col("nb") + F.col("nh")) - F.lit(1e-9)
-    pairs = of("b", "base_sig", "nb", "rest_b").join(of("h", "head_sig", "nh", "rest_h"), "token").where(
-        close & (F.least("rest_b", "rest_h") >= needed)).select("base_sig", "head_sig").distinct()
-    common = F.size(F.array_intersect(F.split("base_sig", "\\|"), F.split("head_sig", "\\|")))
-    total = F.size(F.split("base_sig", "\\|")) + F.size(F.split("head_sig", "\\|")) - common
-    return pairs.withColumn("jaccard", common / total).where(F.col("jaccard") >= threshold)
+    near = F.explode(F.array(F.col("like") - 1, F.col("like"), F.col("like") + 1))
+    pairs = of("b", "b", "nb", "rest_b", F.col("like")).join(of("h", "h", "nh", "rest_h", near), ["t", "like"]).where(
+        close & (F.least("rest_b", "rest_h") >= needed)).select("b", "h").distinct()
+    sets = lambda number, name: ordered.select(F.col("no").alias(number), F.col("o").alias(name))
+    common = F.size(F.array_intersect("ob", "oh"))
+    alike = pairs.join(sets("b", "ob"), "b").join(sets("h", "oh"), "h").select(
+        "b", "h", (common / (F.size("ob") + F.size("oh") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    texts = lambda number, name: both.select(F.col("no").alias(number), F.col("sig").alias(name))
+    return alike.join(texts("b", "base_sig"), "b").join(texts("h", "head_sig"), "h").select("base_sig", "head_sig", "jaccard")
 
 
 def _signed(df: DataFrame) -> DataFrame:
