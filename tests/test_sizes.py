@@ -32,3 +32,16 @@ def test_limit_of_broadcasts_stays_the_sessions_own(spark):
     finally:
         for n, v in zip(names, before):
             spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+
+
+def test_texts_of_single_files_use_all_cores(spark, tmp_path):
+    from auditspark.sources import derived
+
+    for name, columns in (("documents", "doc_id long, text string"), ("pages", "page_id long, html string"),
+                          ("conversations", "conv_id long, turn long, text string")):
+        row = (1, 2, "x") if name == "conversations" else (1, "x")
+        spark.createDataFrame([row, (*row[:-1], None)], columns).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    texts = derived.texts(spark, str(tmp_path))
+    assert texts.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    assert sorted((r.path, r.content) for r in texts.collect()) == sorted(
+        (p, c) for p in ("documents/1.py", "pages/1.py", "conversations/1-2.py") for c in ("x", ""))
