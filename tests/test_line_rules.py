@@ -102,3 +102,27 @@ def test_literal_shortcut_never_hides_a_match(spark):
     doc = X.Doc(F.col("t"), F.col("_ascii"), F.col("_hits"))
     found = spark.createDataFrame([("use OpenAI x",), ("a.b axb",), ("é",)], "t string").select(*X.Doc.columns(doc.text, words)).collect()
     assert [(r._ascii, sorted(r._hits)) for r in found] == [(True, ["ai x", "openai", "pen"]), (True, ["a.b"]), (False, [])]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_read_once_and_values_computed_once(files):
+    df = files(("src/a.py", "password = 'Tr0ub4dor99'"))
+    plan = _plan(line_rules.scan(df))
+    assert plan.count("Generate explode") == 1 and "Union" not in plan
+    assert plan.count("database_password") <= 4  # the value is not extracted for each of its characters
+    assert _plan(supply_chain.detect(df)).count("aggregate(") == 5  # places of each of five patterns, once
+
+
+def test_candidate_lines_of_any_case_and_beyond_ascii(files):
+    text = "PASSWORD = 'Tr0ub4dor99'\npaſſword = 'Tr0ub4dor99'\nRequests.get(u)\ny = 1\nx = 'HTTP://a.com'\nq = f'dElEtE from {t}'\nq = f'inſert into {t}'"
+    got = [(r["line"], r["rule_id"]) for r in rows(line_rules.scan(files(("src/a.py", text))))]
+    assert sorted(got) == [(1, "SEC002"), (2, "SEC002"), (6, "SEC003"), (7, "SEC003")]
+
+
+def test_match_places_over_several_lines(files):
+    df = files(("a.py", "é ab\n\nab x ab\nzz"), ("b.py", "a\nb a\nb"), ("c.py", "none"))
+    got = {r["path"]: [tuple(m) for m in r["m"]] for r in df.select("path", X.match_rows(df.content, r"a\s?b").alias("m")).collect()}
+    assert got == {"a.py": [(1, 3, 2, "ab"), (3, 1, 6, "ab"), (3, 6, 11, "ab")], "b.py": [(1, 1, 0, "a\nb"), (2, 3, 4, "a\nb")], "c.py": []}
