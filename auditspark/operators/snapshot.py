@@ -6,7 +6,7 @@ aggregated once by key, which needs one shuffle and combines map-side.
 
 from __future__ import annotations
 
-import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 from auditspark import fixed_values as fv
 from auditspark.functions import levels as L
 from auditspark.functions.tables import union
-from auditspark.session import cut_lineage
+from auditspark.operators import alike
+from auditspark.session import cut_lineage, stored
 from auditspark.sources.declarations import is_expired
 
 ITEM_KINDS = {"capability": fv.HIGH_IMPACT_CAPABILITIES, "integration": fv.SENSITIVE_INTEGRATIONS}
@@ -56,59 +57,32 @@ def match_agents(base: DataFrame, head: DataFrame, renamed: DataFrame | None = N
 def similar_signatures(base: DataFrame, head: DataFrame, threshold: float = fv.RENAME_THRESHOLD) -> DataFrame:
     """(base_sig, head_sig, jaccard) of distinct evidence sets at or above the threshold.
 
-    Inputs have (id, hashes). Agents with equal evidence share one signature, so a large group of
-    copies is one row here. Candidates meet on the rare end of their sets only: two sets can
-    reach the threshold only when they share one of their first n - ceil(t*n) + 1 hashes in
-    rarest-first order, so a hash that everybody has creates no pairs. Sets also have to be of like size, so they meet within
-    classes of sizes: one of its own or a neighbouring class. The places of a shared hash bound what
-    two sets can still share from there on; the first hash they share keeps every pair that reaches the threshold.
-    Sets and hashes go by number: only the pairs that are left meet the sets, only those that reach the threshold the texts.
+    Inputs have (id, hashes). Agents with equal evidence share one signature, so a large group of copies is one row here. Candidates
+    meet on the rare end of their sets only (see :mod:`alike`), so a hash that everybody has creates no pairs while rarer ones are
+    there. In the join sets also have to be of like size, so they meet within classes of sizes: one of its own or a neighbouring
+    class. The places of a shared hash bound what two sets can still share from there on; the first hash they share keeps every pair
+    that reaches the threshold. Sets and hashes go by number: only pairs that reach the threshold meet the texts.
     """
-    sig = lambda df, side: df.where(F.size("hashes") > 0).select(
-        F.lit(side).alias("side"), F.array_sort(F.array_distinct(F.array_compact("hashes"))).alias("set")).select(
-        "side", F.array_join("set", "|").alias("sig"), "set").distinct()
-    both = cut_lineage(sig(base, "b").unionByName(sig(head, "h")).withColumn("no", F.monotonically_increasing_id()))
-    tokens = both.select("side", "no", F.explode("set").alias("token"))
-    freq = cut_lineage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).withColumn("t", F.monotonically_increasing_id()))
-    ordered = cut_lineage(tokens.join(freq, "token").groupBy("side", "no").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("freq", "t"))), lambda x: x["t"]).alias("o")))
-    n = F.size("o")
-    keep = (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1).cast("int")
-    # sizes within the threshold of each other lie in one class or in two neighbouring ones
-    width = math.log(1 / threshold) + 1e-6 if 0 < threshold < 1 else 1e-6
-    like = F.floor(F.log(F.col("n").cast("double")) / width) if threshold > 0 else F.lit(0).cast("long")
-    prefix = ordered.select("side", "no", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "t")).select(
-        "side", "no", "n", (F.col("n") - F.col("at")).alias("left"), "t", like.alias("like"))
-    of = lambda side, number, size, rest, classes: prefix.where(F.col("side") == side).select(
-        F.col("no").alias(number), F.col("n").alias(size), F.col("left").alias(rest), "t", classes.alias("like"))
-    close = F.least("nb", "nh") >= F.lit(threshold) * F.greatest("nb", "nh") - F.lit(1e-9)
-    needed = F.lit(threshold / (1 + threshold)) * (F.col("nb") + F.col("nh")) - F.lit(1e-9)
-    near = F.explode(F.array(F.col("like") - 1, F.col("like"), F.col("like") + 1))
-    pairs = of("b", "b", "nb", "rest_b", F.col("like")).join(of("h", "h", "nh", "rest_h", near), ["t", "like"]).where(
-        close & (F.least("rest_b", "rest_h") >= needed)).select("b", "h").distinct()
-    sets = lambda number, name: ordered.select(F.col("no").alias(number), F.col("o").alias(name))
-    common = F.size(F.array_intersect("ob", "oh"))
-    alike = pairs.join(sets("b", "ob"), "b").join(sets("h", "oh"), "h").select(
-        "b", "h", (common / (F.size("ob") + F.size("oh") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    texts = lambda number, name: both.select(F.col("no").alias(number), F.col("sig").alias(name))
-    return alike.join(texts("b", "base_sig"), "b").join(texts("h", "head_sig"), "h").select("base_sig", "head_sig", "jaccard")
-
-
-def _signed(df: DataFrame) -> DataFrame:
-    return df.where(F.size("hashes") > 0).select("id", F.array_join(F.array_sort(F.array_distinct("hashes")), "|").alias("sig"))
+    sets = alike.numbered(base, head)
+    pairs = alike.alike(sets.ordered, threshold).pairs()
+    return pairs.join(sets.texts("b", "b", "base_sig"), "b").join(sets.texts("h", "h", "head_sig"), "h").select("base_sig", "head_sig", "jaccard")
 
 
 def best_candidates(base: DataFrame, head: DataFrame, threshold: float = fv.RENAME_THRESHOLD) -> DataFrame:
     """(base_id, head_id, jaccard): the most similar head of every base, smallest id on a tie.
 
-    Every head signature stands in with its smallest id, so copies cost nothing.
+    Every head signature stands in with its smallest id, so copies cost nothing. Signatures are numbered in the order of that id.
     """
-    pairs = similar_signatures(base, head, threshold)
-    first = _signed(head).groupBy(F.col("sig").alias("head_sig")).agg(F.min("id").alias("head_id"))
-    best = pairs.join(first, "head_sig").groupBy("base_sig").agg(
-        F.min(F.struct((-F.col("jaccard")).alias("neg"), "head_id")).alias("b"))
-    return _signed(base).withColumnsRenamed({"id": "base_id", "sig": "base_sig"}).join(best, "base_sig").select(
-        "base_id", "b.head_id", (-F.col("b.neg")).alias("jaccard"))
+    sets = alike.numbered(base, head)
+    of = lambda side: F.col("side") == side
+    wants = sets.known.where(of("b")).select(F.col("no").alias("b"), F.lit(-1).cast("long").alias("low"), F.lit(1).cast("long").alias("want"))
+    best = alike.alike(sets.ordered, threshold).pairs(wants).join(
+        sets.known.where(of("h")).select(F.col("no").alias("h"), F.col("first").alias("head_id")), "h")
+    return sets.agents.where(of("b")).select(F.col("id").alias("base_id"), F.col("no").alias("b")).join(best, "b").select("base_id", "head_id", "jaccard")
+
+
+#: Heads that a group of bases gets besides one for each of them, before its list is looked up again.
+SPARE = 32
 
 
 def renames(base_only: DataFrame, head_only: DataFrame, threshold: float = fv.RENAME_THRESHOLD) -> DataFrame:
@@ -118,30 +92,52 @@ def renames(base_only: DataFrame, head_only: DataFrame, threshold: float = fv.RE
     proposes to its best head that no smaller id holds, heads keep the smallest id, and what is pushed out waits again. A
     round is joins and minima over all waiting bases. Bases of equal evidence propose in one round as well: of the
     heads that all of them may have, the i-th base takes the i-th, for the earlier ones keep those from it in any case.
+
+    Everything goes by number, ids in their order. Not all pairs are kept: a group has a list of the best heads that its smallest waiting base may
+    have. What is not on it is worse or held by a smaller base, which stays so; when lists hold nothing more for those
+    that wait they are looked up again. A base smaller than those its group's list was made for waits for that. Lists and holders
+    are stored as files, as a checkpoint keeps the estimated size of its joins, which would multiply from round to round.
     """
-    pairs = cut_lineage(similar_signatures(base_only, head_only, threshold))
-    bases = cut_lineage(_signed(base_only).withColumnsRenamed({"id": "base_id", "sig": "base_sig"}).join(
-        pairs.select("base_sig").distinct(), "base_sig", "left_semi"))
-    heads = cut_lineage(_signed(head_only).withColumnsRenamed({"id": "head_id", "sig": "head_sig"}).join(
-        pairs.select("head_sig").distinct(), "head_sig", "left_semi"))
-    held = heads.where(F.lit(False)).select("head_id", F.lit("").alias("base_id"), F.lit(0.0).alias("jaccard"))
-    in_order = Window.partitionBy("base_sig").orderBy("base_id")
-    by_preference = Window.partitionBy("base_sig").orderBy(F.desc("jaccard"), "head_id")
+    sets = alike.numbered(base_only, head_only)
+    order = cut_lineage(sets.agents.select("side", "id").distinct().orderBy("side", "id").withColumn("a", F.monotonically_increasing_id()))
+    agents = cut_lineage(sets.agents.alias("x").join(order.alias("y"), (F.col("x.side") == F.col("y.side")) & F.col("x.id").eqNullSafe(F.col("y.id"))).select(
+        "x.side", "no", "a"))
+    bases = agents.where(F.col("side") == "b").select(F.col("no").alias("b"), "a")
+    heads = agents.where(F.col("side") == "h").select(F.col("a").alias("h"), "no").distinct()
+    close = alike.alike(sets.ordered, threshold)
+    close = replace(close, few=cut_lineage(close.few))
+    in_order = Window.partitionBy("b").orderBy("a")
+    by_preference = Window.partitionBy("b").orderBy(F.desc("jaccard"), "h")
+    held = heads.where(F.lit(False)).select("h", F.col("h").alias("a"), F.lit(0.0).alias("jaccard"))
+    lists = held.select(F.col("a").alias("b"), "h", "jaccard", F.col("a").alias("low"))
+
+    def waiting():
+        return bases.join(held.select("a"), "a", "left_anti")
+
     while True:
-        waiting = bases.join(held.select("base_id"), "base_id", "left_anti").withColumn("i", F.row_number().over(in_order))
-        groups = waiting.groupBy("base_sig").agg(F.min("base_id").alias("_low"), F.max("base_id").alias("_high"))
-        free_for = F.col("_by").isNull() | (F.col("_by") > F.col("_low"))
-        options = (
-            groups.join(pairs, "base_sig").join(heads, "head_sig").join(held.select("head_id", F.col("base_id").alias("_by")), "head_id", "left")
-            .where(free_for).withColumn("i", F.row_number().over(by_preference))
-            .withColumn("_disputed", F.min(F.when(F.col("_by") <= F.col("_high"), F.col("i"))).over(Window.partitionBy("base_sig"))))
-        asked = waiting.join(options, ["base_sig", "i"]).where(
-            F.col("_disputed").isNull() | (F.col("i") < F.col("_disputed")) | ((F.col("i") == F.col("_disputed")) & (F.col("_by") > F.col("base_id"))))
-        proposals = cut_lineage(asked.select("head_id", "base_id", "jaccard"))
-        if proposals.isEmpty():
-            return held.select("base_id", "head_id", "jaccard")
-        best = F.min(F.struct("base_id", "jaccard")).alias("b")
-        held = cut_lineage(held.unionByName(proposals).groupBy("head_id").agg(best).select("head_id", "b.base_id", "b.jaccard"))
+        groups = cut_lineage(waiting().groupBy("b").agg(F.min("a").alias("low"), (F.count(F.lit(1)) + SPARE).alias("want")))
+        free = heads.join(held.select("h", F.col("a").alias("by")), "h", "left").select("h", "no", F.coalesce("by", F.lit(alike.ALL)).alias("by"))
+        fresh = close.pairs(groups, free).join(groups.select("b", "low"), "b")
+        lists = stored(lists.join(groups, "b", "left_anti").select("b", "h", "jaccard", "low").unionByName(fresh.select("b", "h", "jaccard", "low")))
+        new = 0
+        while True:
+            left = waiting().withColumn("i", F.row_number().over(in_order))
+            ranges = left.groupBy("b").agg(F.min("a").alias("_low"), F.max("a").alias("_high"))
+            options = (
+                lists.join(ranges, "b").where(F.col("_low") >= F.col("low")).join(held.select("h", F.col("a").alias("_by")), "h", "left")
+                .where(F.col("_by").isNull() | (F.col("_by") > F.col("_low"))).withColumn("i", F.row_number().over(by_preference))
+                .withColumn("_disputed", F.min(F.when(F.col("_by") <= F.col("_high"), F.col("i"))).over(Window.partitionBy("b"))))
+            asked = left.join(options, ["b", "i"]).where(
+                F.col("_disputed").isNull() | (F.col("i") < F.col("_disputed")) | ((F.col("i") == F.col("_disputed")) & (F.col("_by") > F.col("a"))))
+            proposals = cut_lineage(asked.select("h", "a", "jaccard"))
+            if proposals.isEmpty():
+                break
+            new += 1
+            best = F.min(F.struct("a", "jaccard")).alias("b")
+            held = stored(held.unionByName(proposals).groupBy("h").agg(best).select("h", "b.a", "b.jaccard"))
+        if not new:
+            named = lambda side, number, name: order.where(F.col("side") == side).select(F.col("a").alias(number), F.col("id").alias(name))
+            return held.join(named("b", "a", "base_id"), "a").join(named("h", "h", "head_id"), "h").select("base_id", "head_id", "jaccard")
 
 
 # ------------------------------------------------------------------------ changes
