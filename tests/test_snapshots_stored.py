@@ -1,0 +1,28 @@
+"""The changes between two snapshots are computed once, however many parts of a diff read them."""
+
+import datetime
+
+from auditspark.plans import queries
+
+
+def _tables(spark, d):
+    day = lambda y: datetime.datetime(y, 6, 1)
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+    write([(1, "Brand#11", "SMALL TIN"), (2, "Brand#12", "SMALL TIN"), (3, "Brand#13", "TIN")], "p_partkey long, p_brand string, p_type string", "part")
+    write([(1, 7, "1-URGENT"), (2, 7, "1-URGENT"), (3, 8, "1-URGENT"), (4, 9, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderpriority string", "orders")
+    write([(1, 1, day(1997)), (1, 1, day(1997)), (2, 2, day(1999)), (3, 1, day(1997)), (4, 3, day(1999)), (4, 1, None)],
+          "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz", "lineitem")
+
+
+def test_items_and_changes_are_stored_once(spark, tmp_path):
+    _tables(spark, str(tmp_path))
+    base, head, agents, changes = queries._changes(spark, str(tmp_path))
+    for df in (base, head, agents, changes):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "FileScan parquet" in plan and "Exchange" not in plan and "Aggregate" not in plan and "Join" not in plan
+    caps = queries.derived.CAPABILITIES
+    of = lambda df: {(r.agent_id, r.value) for r in df.collect() if r.kind == "capability"}
+    assert of(base) == {("a35", caps[11]), ("a40", caps[11])} and of(head) == {("a35", caps[12]), ("a45", caps[13])}
+    assert base.count() == 4 and head.count() == 4
+    assert {(r.id, r.status) for r in agents.collect()} == {("a35", "common"), ("a40", "removed"), ("a45", "added")}
+    assert {(r.value, r.change) for r in changes.collect() if r.kind == "capability"} == {(caps[11], "removed"), (caps[12], "added")}
